@@ -7,11 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.ann import nearest
 from docloom.llm.bitpack import packed_round_trip
+from docloom.llm.html_extract import main_text
+from docloom.llm.langid import language_of
 from docloom.llm.packing import pack_documents
 from docloom.llm.shared import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -21,7 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_bit_packed_ids, op10_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_nearest_neighbours, op6_main_text, op8_bit_packed_ids, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
