@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.ann import nearest
 from docloom.llm.bitpack import packed_round_trip
+from docloom.llm.decontaminate import decontaminate
 from docloom.llm.html_extract import main_text
 from docloom.llm.langid import language_of
 from docloom.llm.packing import pack_documents
@@ -27,6 +28,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -36,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_nearest_neighbours, op6_main_text, op8_bit_packed_ids, op10_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_nearest_neighbours, op6_main_text, op7_decontamination, op8_bit_packed_ids, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
