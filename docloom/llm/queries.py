@@ -14,6 +14,7 @@ from docloom.llm.html_extract import main_text
 from docloom.llm.langid import language_of
 from docloom.llm.packing import pack_documents
 from docloom.llm.shared import table
+from docloom.llm.substring_dedup import repeats
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +37,16 @@ def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_nearest_neighbours, op6_main_text, op7_decontamination, op8_bit_packed_ids, op10_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_nearest_neighbours, op6_main_text, op7_decontamination, op8_bit_packed_ids, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
