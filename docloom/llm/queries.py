@@ -12,11 +12,16 @@ from docloom.llm.bitpack import packed_round_trip
 from docloom.llm.decontaminate import decontaminate
 from docloom.llm.html_extract import main_text
 from docloom.llm.langid import language_of
+from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.shared import table
 from docloom.llm.substring_dedup import repeats
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_nearest_neighbours, op6_main_text, op7_decontamination, op8_bit_packed_ids, op9_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_nearest_neighbours, op6_main_text, op7_decontamination, op8_bit_packed_ids, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
