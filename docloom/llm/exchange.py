@@ -60,8 +60,11 @@ def presence(chunk: int, keys: np.ndarray, buckets: int) -> pa.Table:
     return rows(chunk, [(b, (own[i:j] | twice[i:j]).tobytes()) for b, i, j in split(own, buckets)])
 
 
-def repeated(questions: DataFrame) -> DataFrame:
-    """For each chunk the keys of its own that occur twice or more in the corpus, as sorted uint64."""
+def repeated(questions: DataFrame, crowd: int | None = None) -> DataFrame:
+    """For each chunk the keys of its own that occur twice or more in the corpus, as uint64.
+
+    With `crowd` the lowest bit of a key tells that at least so many chunks have it.
+    """
 
     def answer(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
@@ -75,6 +78,10 @@ def repeated(questions: DataFrame) -> DataFrame:
         same[1:] = keys[1:] == keys[:-1]
         again = twice | same
         again[:-1] |= same[1:]
+        if crowd is not None:
+            begin = np.flatnonzero(~same)
+            size = np.diff(np.append(begin, len(keys)))
+            keys = keys | np.repeat((size >= crowd).astype(np.uint64), size)
         keys, owner = keys[again], owner[again]
         order = np.argsort(owner, kind="stable")
         keys, owner = keys[order], owner[order]

@@ -16,6 +16,7 @@ from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.shared import table
 from docloom.llm.substring_dedup import repeats
+from docloom.llm.suffix_dedup import remove_repeats
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_nearest_neighbours, op6_main_text, op7_decontamination, op8_bit_packed_ids, op9_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_nearest_neighbours, op5_suffix_dedup, op6_main_text, op7_decontamination, op8_bit_packed_ids, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
