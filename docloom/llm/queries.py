@@ -12,6 +12,7 @@ from docloom.llm.bitpack import packed_round_trip
 from docloom.llm.decontaminate import decontaminate
 from docloom.llm.html_extract import main_text
 from docloom.llm.langid import language_of
+from docloom.llm.language_model import score_documents
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.shared import table
@@ -31,6 +32,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_nearest_neighbours, op5_suffix_dedup, op6_main_text, op7_decontamination, op8_bit_packed_ids, op9_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_nearest_neighbours, op4_lm_scoring, op5_suffix_dedup, op6_main_text, op7_decontamination, op8_bit_packed_ids, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
