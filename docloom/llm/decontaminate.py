@@ -85,8 +85,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, whole and with all their columns, that are not contaminated."""
-    judged = _judged(docs, items, window).where("contaminated").select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(judged["doc_id"]) & (F.xxhash64(docs["text"]) == judged["text_hash"])
+    judged = _judged(docs, items, window).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.xxhash64("text").alias("hit_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(judged["hit_id"]) & (F.xxhash64(docs["text"]) == judged["hit_hash"])
     return docs.join(judged, same, "left_anti")
 
 

@@ -27,10 +27,14 @@ def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(1, -(-total // chunk_bytes))
 
 
-def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """chunk, doc_id, text: the first column deals rows evenly, whatever their source, length or id."""
+def chunked(docs: DataFrame, chunks: int, rest: list[str] | None = None) -> DataFrame:
+    """chunk, doc_id, text: the first column deals rows evenly, whatever their source, length or id.
+
+    Columns named in `rest` come along in one struct, under whatever names they have.
+    """
     spread = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int")
-    return docs.select(spread.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    more = [F.struct(*rest).alias("rest")] if rest else []
+    return docs.select(spread.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 
 def split(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:

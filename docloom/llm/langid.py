@@ -14,6 +14,7 @@ training, the label are read.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,26 +195,47 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_
 _identifiers: dict[int, Identifier] = {}
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]], carry: list[str]) -> DataFrame:
-    """The columns `carry` of each row with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
-    key = hash(str(sorted(samples.items())))
+def _model(key: int, samples: dict[str, list[str]]) -> Identifier:
+    if key not in _identifiers:
+        _identifiers.clear()
+        _identifiers[key] = Identifier(samples)
+    return _identifiers[key]
+
+
+def _shared(docs: DataFrame, samples: dict[str, list[str]]):
+    return docs.sparkSession.sparkContext.broadcast(samples), zlib.crc32(repr(sorted(samples.items())).encode("utf-8", "surrogatepass"))
+
+
+def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
+    """doc_id, lang_pred and score of each row."""
+    shared, key = _shared(docs, samples)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _identifiers:
-            _identifiers.clear()
-            _identifiers[key] = Identifier(shared.value)
-        model = _identifiers[key]
+        model = _model(key, shared.value)
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                langs, scores = model.predict(rows.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text is in a learned language."""
+    shared, key = _shared(docs, samples)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(key, shared.value)
         for batch in batches:
-            for rows in slices(batch, "__text"):
-                langs, scores = model.predict(rows.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carry), pa.array(langs, pa.string()), pa.array(scores)], [*carry, "lang_pred", "score"])
+            for rows in slices(batch, "text"):
+                langs, _ = model.predict(rows.column("text").to_pylist())
+                yield rows.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(predict, f"{kept}, lang_pred string, score double")
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def language_of(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, learned outside the held-out fold."""
-    found = identify(docs, training_sample(docs), ["doc_id"])
+    found = identify(docs, training_sample(docs))
     return found.select("doc_id", (id_hash("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

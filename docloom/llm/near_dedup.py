@@ -206,3 +206,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         groups = components(found)
         out = joined.join(groups, (joined["rep"] == groups["node"]) & (F.col("n_shingles") > 0), "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are the first of their group of near-duplicates."""
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")

@@ -17,6 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.llm import exchange, hashing
 from docloom.llm.batches import string_buffers
@@ -83,38 +84,55 @@ def removed_words(w: Words, again: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document; with `keep_text` also the text that is left.
+def _repeated_windows(chunks: DataFrame, n: int, window: int, gram: int) -> DataFrame:
+    seeds = exchange.repeated(exchange.ask(chunks, _seeds(window, gram, n)))
+    return exchange.repeated(exchange.with_answers(chunks, seeds, _extensions(window, gram, n), exchange.QUESTION))
 
-    A document that loses nothing keeps its text as it is; of others the kept words are joined by one blank.
-    """
+
+def _kept(part: pa.Table, w: Words, gone: np.ndarray):
+    """For each document: its place, words, words lost and the kept words joined by one blank."""
+    raw = w.data.tobytes()
+    total = np.concatenate([[0], np.cumsum(gone)])
+    lost = total[w.upto[1:]] - total[w.upto[:-1]]
+    for i in range(part.num_rows):
+        a, b = int(w.upto[i]), int(w.upto[i + 1])
+        left = a + np.flatnonzero(~gone[a:b])
+        yield i, b - a, int(lost[i]), b" ".join([raw[s:e] for s, e in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True)])
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
     n = exchange.chunk_count(docs, chunk_bytes)
     chunks = exchange.chunked(docs, n)
-    seeds = exchange.repeated(exchange.ask(chunks, _seeds(window, gram, n)))
-    again = exchange.repeated(exchange.with_answers(chunks, seeds, _extensions(window, gram, n), exchange.QUESTION))
 
     def result(_: int, table: pa.Table, sent: list[bytes]) -> pa.Table:
-        keys, out = exchange.keys_in(sent), [[], [], [], [], []]
+        again, out = exchange.keys_in(sent), []
         for part in exchange.doc_slices(table, SLICE_BYTES):
-            w = Words(part, window)
-            gone = removed_words(w, keys)
-            raw, texts = w.data.tobytes(), part.column("text").to_pylist() if keep_text else None
-            total = np.concatenate([[0], np.cumsum(gone)])
-            lost = total[w.upto[1:]] - total[w.upto[:-1]]
-            for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                a, b = int(w.upto[i]), int(w.upto[i + 1])
-                if lost[i]:
-                    left = a + np.flatnonzero(~gone[a:b])
-                    kept = b" ".join([raw[s:e] for s, e in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True)])
-                else:
-                    kept = b" ".join(raw[w.offsets[i] : w.offsets[i + 1]].split())
-                out[0].append(doc)
-                out[1].append(b - a)
-                out[2].append(int(lost[i]))
-                out[3].append(hashlib.sha256(kept).hexdigest())
-                if keep_text:
-                    out[4].append(kept.decode() if lost[i] else texts[i])
-        cols = {"doc_id": pa.array(out[0], pa.int64()), "n_words": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string())}
-        return pa.table(cols | ({"text": pa.array(out[4], pa.string())} if keep_text else {}))
-
-    return exchange.with_answers(chunks, again, result, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
+            w, ids = Words(part, window), part.column("doc_id").to_pylist()
+            out += [(ids[i], words, lost, hashlib.sha256(kept).hexdigest()) for i, words, lost, kept in _kept(part, w, removed_words(w, again))]
+        kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
+        return pa.table({name: pa.array([row[k] for row in out], kind) for k, (name, kind) in enumerate(kinds.items())})
+
+    return exchange.with_answers(chunks, _repeated_windows(chunks, n, window, gram), result, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:
+    """The rows of `docs` with all their columns, repeats cut from the text; `n_chars`, if there, follows the text.
+
+    A text that loses nothing stays as it is; of another the kept words are joined by one blank.
+    """
+    n = exchange.chunk_count(docs, chunk_bytes)
+    chunks = exchange.chunked(docs, n, docs.columns)
+
+    def result(_: int, table: pa.Table, sent: list[bytes]) -> pa.Table:
+        again, out = exchange.keys_in(sent), []
+        for part in exchange.doc_slices(table, SLICE_BYTES):
+            w, texts = Words(part, window), part.column("text").to_pylist()
+            cut = [kept.decode("utf-8", "replace") if lost else texts[i] for i, _, lost, kept in _kept(part, w, removed_words(w, again))]
+            out.append(pa.table({"rest": part.column("rest"), "kept": pa.array(cut, pa.string())}))
+        return pa.concat_tables(out)
+
+    rest = chunks.schema["rest"].dataType.simpleString()
+    cut = exchange.with_answers(chunks, _repeated_windows(chunks, n, window, gram), result, f"rest {rest}, kept string")
+    text = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return cut.select(*(text[c].alias(c) if c in text else F.col("rest")[c].alias(c) for c in docs.columns))
