@@ -19,15 +19,20 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(both / union)
 
 
+def side(boxes: Column, i: int) -> Column:
+    """The i-th number of each box or point."""
+    return F.transform(boxes, lambda b: b[i])
+
+
 def union_box(boxes: Column) -> Column:
     """The box around an array of boxes; null if there are none."""
-    sides = [agg(F.transform(boxes, lambda b, i=i: b[i])) for i, agg in enumerate((F.array_min, F.array_min, F.array_max, F.array_max))]
+    sides = [agg(side(boxes, i)) for i, agg in enumerate((F.array_min, F.array_min, F.array_max, F.array_max))]
     return F.when(F.size(boxes) > 0, F.array(*sides))
 
 
 def polygon_box(points: Column) -> Column:
     """The upright box around an array of [x, y] points."""
-    xs, ys = (F.transform(points, lambda p, i=i: p[i].cast("double")) for i in (0, 1))
+    xs, ys = (side(points, i).cast("array<double>") for i in (0, 1))
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Glyphs that scanners confuse, each with the one that stands for it.
 FOLD_FROM, FOLD_TO = "1l|!05862", "iiiiosbgz"
@@ -53,7 +54,7 @@ def wer(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).when(F.size(known) <= len(TOKEN_ALPHABET), F.levenshtein(*coded) / F.size(r))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
@@ -88,13 +89,13 @@ def token_sort(s: str) -> str:
     return " ".join(sorted(s.split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Insert-and-delete similarity of the sorted tokens, 0 to 100."""
     return pd.Series([None if x is None or y is None else indel_ratio(token_sort(x), token_sort(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else max(indel_ratio(token_sort(x), token_sort(y)), indel_ratio(x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
