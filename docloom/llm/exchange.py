@@ -95,6 +95,37 @@ def repeated(questions: DataFrame, crowd: int | None = None) -> DataFrame:
     return questions.groupBy("bucket").applyInArrow(answer, ANSWER)
 
 
+def tally(chunk: int, keys: np.ndarray, buckets: int) -> pa.Table:
+    """A chunk's distinct keys with how often it has each, for `frequencies`."""
+    keys, counts = np.unique(keys, return_counts=True)
+    counts = counts.astype(np.uint32)
+    return rows(chunk, [(b, keys[i:j].tobytes() + counts[i:j].tobytes()) for b, i, j in split(keys, buckets)])
+
+
+def tallied(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(payload) // 12
+    return np.frombuffer(payload, np.uint64, n), np.frombuffer(payload, np.uint32, n, 8 * n)
+
+
+def frequencies(questions: DataFrame) -> DataFrame:
+    """For each chunk its keys that occur twice or more in the corpus, with their counts there."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        held = [tallied(p) for p in table.column("payload").to_pylist()]
+        distinct, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, place, np.concatenate([n for _, n in held]).astype(np.int64))
+        parts, at = [], 0
+        for chunk, (keys, _) in zip(table.column("chunk").to_pylist(), held, strict=True):
+            mine = np.minimum(total[place[at : at + len(keys)]], 0xFFFFFFFF).astype(np.uint32)
+            at += len(keys)
+            if (mine > 1).any():
+                parts.append((chunk, keys[mine > 1].tobytes() + mine[mine > 1].tobytes()))
+        return answers(parts)
+
+    return questions.groupBy("bucket").applyInArrow(answer, ANSWER)
+
+
 def ask(chunks: DataFrame, question: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         return question(key[0].as_py(), table)

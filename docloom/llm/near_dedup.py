@@ -6,10 +6,11 @@ set cover the places evenly; a set stops as soon as no later rank can lower any
 bucket keys. Documents with equal sets are one class; classes that meet in a bucket are compared on full sets and
 linked at a similarity of `PERCENT` / 100 or more. Links join into components.
 
-No bucket is expanded into its pairs. A round takes a few centres of each bucket that still spans several groups and
-compares them with the bucket's members of other groups; what links is one group from then on. A centre leaves its
-bucket, having met every member, and the number of centres grows fourfold each round, until every bucket is one
-group or has no pair left.
+No bucket is expanded into its pairs. First each member is compared with one centre, the weightiest of its buckets;
+what links is one group. Members of buckets that still span several groups meet again by the rarest elements of their
+sets, of which linked sets share one, in rounds: a few centres of each element's members are compared with those of
+other groups that can have enough in common. A centre leaves, having met every member, and the number of centres
+grows fourfold each round, until each element is within one group or has no pair left.
 
 A document with null or empty text, or without words, has an empty set and stands alone. A null doc_id stands alone
 too: its component is null and it is kept. Rows that share a doc_id and text are alike; with other texts each row
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import hashing
+from docloom.llm import exchange, hashing
 from docloom.llm.batches import slices, string_buffers
 from docloom.llm.components import components
 from docloom.llm.shared import written
@@ -158,36 +159,92 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return members.groupBy("centre", "g").cogroup(centres.groupBy("of", "h")).applyInArrow(compare, "centre long, member long, centre_label long, member_label long")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """Links that connect what is linked: u, v over class representatives; None if there are none."""
+def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, rep, pos: the rarest elements of each set, by their count over all `sets`, that a linked set must share.
+
+    With the elements of all sets in one order, rarest first, two sets that are similar enough share one among their
+    first n - ceil(n * percent / 100) + 1. An element that no other set has is of no use and left out.
+    """
+    size = sets.agg(F.sum(F.octet_length("items"))).first()[0] or 0
+    n = max(1, -(-size // exchange.CHUNK_BYTES))
+    chunks = sets.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("chunk"), "id", "items")
+
+    def question(chunk: int, table: pa.Table) -> pa.Table:
+        return exchange.tally(chunk, np.frombuffer(b"".join(table.column("items").to_pylist()), np.uint64), n)
+
+    def use(_: int, table: pa.Table, sent: list[bytes]) -> pa.Table:
+        parts = [exchange.tallied(p) for p in sent]
+        known = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
+        counts = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.uint32)
+        order = np.argsort(known, kind="stable")
+        known, counts = known[order], counts[order]
+        out = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for rep, raw in zip(table.column("id").to_pylist(), table.column("items").to_pylist(), strict=True):
+            items = np.frombuffer(raw, np.uint64)
+            often = np.ones(len(items), np.int64)
+            there = hashing.within(items, known)
+            often[there] = counts[np.searchsorted(known, items[there])]
+            head = np.lexsort((items, often))[: len(items) + (-percent * len(items) // 100) + 1]
+            pos = np.flatnonzero(often[head] > 1)
+            for x, v in zip(out, (items[head[pos]], np.full(len(pos), rep), pos), strict=True):
+                x.append(v)
+        key, rep, pos = (np.concatenate(x) for x in out)
+        return pa.table({"key": pa.array(key.view(np.int64)), "rep": pa.array(rep), "pos": pa.array(pos)})
+
+    answers = exchange.frequencies(exchange.ask(chunks, question))
+    return exchange.with_answers(chunks, answers, use, "key long, rep long, pos long")
+
+
+def _moved(labelled: DataFrame, linked: DataFrame) -> DataFrame:
+    """`labelled` with the label of each group after the links between labels."""
+    groups = components(linked.select(F.col("centre_label").alias("u"), F.col("member_label").alias("v")))
+    groups = groups.select(F.col("node").alias("label"), F.col("component").alias("low"))
+    return labelled.join(groups, "label", "left").withColumn("label", F.coalesce("low", "label")).drop("low")
+
+
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links that connect what is linked: u, v over class representatives."""
     keys = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     crowds = keys.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     met = written(keys.join(crowds, "key"), "bucket-members")
-    weight = met.groupBy("rep").agg(F.sum("crowd").alias("weight"))
-    open_ = written(met.join(weight, "rep").select("key", "rep", "n_shingles", "weight", F.col("rep").alias("label")), "open-buckets")
-    wanted = weight.select(F.col("rep").alias("id"))
+    weight = written(met.groupBy("rep", "n_shingles").agg(F.sum("crowd").alias("weight")), "bucket-weights")
+    wanted = weight.select(F.col("rep").alias("id")).distinct()
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id")
     sets = written(full_sets(texts), "full-sets")
-    found, centres_each = None, 1
+
+    # each member with one centre, the weightiest of its buckets
+    heavy = F.struct("weight", -F.col("rep"))
+    weighed = met.select("key", "rep").join(weight, "rep")
+    centres = weighed.groupBy("key").agg(F.max_by(F.struct("rep", "n_shingles", "weight"), heavy).alias("c"))
+    size = F.col("n_shingles"), F.col("c.n_shingles")
+    near = met.select("key", "rep", "n_shingles").join(centres, "key").where((F.col("rep") != F.col("c.rep")) & (100 * F.least(*size) >= percent * F.greatest(*size)))
+    first = near.groupBy("rep").agg(F.max_by("c.rep", F.struct("c.weight", -F.col("c.rep"))).alias("centre")).select("centre", F.col("rep").alias("member"), F.col("centre").alias("centre_label"), F.col("rep").alias("member_label"))
+    linked = written(verified(written(first, "candidate-pairs"), sets, percent), "links-found")
+    found = linked.select(F.col("centre").alias("u"), F.col("member").alias("v"))
+
+    # members of buckets that still span groups meet again, by the rare elements of their sets
+    labelled = written(_moved(weight.withColumn("label", F.col("rep")), linked), "labels")
+    spans = met.select("key", "rep").join(labelled.select("rep", "label"), "rep").groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    apart = met.select("key", "rep").join(spans, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
+    rare = prefixes(written(sets.join(apart, "id", "left_semi"), "open-sets"), percent)
+    open_ = written(rare.join(labelled, "rep").select("key", "rep", "pos", "n_shingles", "weight", "label"), "open-members")
+    centres_each = 1
     while True:
         spans = open_.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        live = open_.join(spans, "key")
-        share = F.pmod(F.xxhash64("rep", F.lit(centres_each)), F.lit(centres_each))
-        chosen = live.groupBy("key", share.alias("share")).agg(F.max_by(F.struct("rep", "n_shingles", "label"), F.struct("weight", -F.col("rep"))).alias("c")).select("key", "c")
-        chosen = written(chosen, "centres")
-        if chosen.isEmpty():
+        live = written(open_.join(spans, "key", "left_semi"), "live-members")
+        if live.isEmpty():
             return found
-        size = F.col("n_shingles"), F.col("c.n_shingles")
-        close = (F.col("label") != F.col("c.label")) & (100 * F.least(*size) >= percent * F.greatest(*size))
+        share = F.pmod(F.xxhash64("rep", F.lit(centres_each)), F.lit(centres_each))
+        chosen = written(live.groupBy("key", share.alias("share")).agg(F.max_by(F.struct("rep", "n_shingles", "pos", "label"), heavy).alias("c")).select("key", "c"), "centres")
+        # the first element that two sets share bounds what they can have in common
+        common = F.least(F.col("n_shingles") - F.col("pos"), F.col("c.n_shingles") - F.col("c.pos"))
+        close = (F.col("label") != F.col("c.label")) & ((100 + percent) * common >= percent * (F.col("n_shingles") + F.col("c.n_shingles")))
         pairs = live.join(chosen, "key").where(close).select(F.col("c.rep").alias("centre"), F.col("rep").alias("member"), F.col("c.label").alias("centre_label"), F.col("label").alias("member_label")).distinct()
         linked = written(verified(written(pairs, "candidate-pairs"), sets, percent), "links-found")
-        found = linked.select(F.col("centre").alias("u"), F.col("member").alias("v")) if found is None else found.unionByName(linked.select(F.col("centre").alias("u"), F.col("member").alias("v")))
-        lower = linked.select(F.greatest("centre_label", "member_label").alias("label"), F.least("centre_label", "member_label").alias("low")).groupBy("label").agg(F.min("low").alias("low"))
-        further = lower.select(F.col("label").alias("low"), F.col("low").alias("lowest"))
-        moved = written(lower.join(further, "low", "left").select("label", F.coalesce("lowest", "low").alias("low")), "labels")
+        found = found.unionByName(linked.select(F.col("centre").alias("u"), F.col("member").alias("v")))
         left = live.join(chosen.select("key", F.col("c.rep").alias("rep")), ["key", "rep"], "left_anti")
-        open_ = written(left.join(moved, "label", "left").select("key", "rep", "n_shingles", "weight", F.coalesce("low", "label").alias("label")), "open-buckets")
+        open_ = written(_moved(left, linked), "open-members")
         centres_each *= 4
 
 
@@ -199,12 +256,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     joined = rows.drop("keys").join(classes.drop("keys"), ["f1", "f2", "n_shingles"], "left")
     rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
     joined = joined.select("doc_id", "n_shingles", rep.alias("rep"))
-    found = links(docs, classes, percent)
-    if found is None:
-        out = joined.withColumn("component_id", F.col("rep"))
-    else:
-        groups = components(found)
-        out = joined.join(groups, (joined["rep"] == groups["node"]) & (F.col("n_shingles") > 0), "left").withColumn("component_id", F.coalesce("component", "rep"))
+    groups = components(links(docs, classes, percent))
+    out = joined.join(groups, (joined["rep"] == groups["node"]) & (F.col("n_shingles") > 0), "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
