@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import codec
+from docloom.llm.batches import slices
+
 #: Bytes of text in a chunk, on average.
 CHUNK_BYTES = 4 << 20
 
@@ -22,9 +25,16 @@ QUESTION = "chunk int, bucket int, payload binary"
 ANSWER = "chunk int, payload binary"
 
 
-def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
+#: Bytes of text from which on chunks grow, with the root of the text, and the most they grow by.
+GROW_FROM, GROW_MOST = 1 << 30, 8
+
+
+def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, grow: bool = False) -> int:
+    """How many chunks the texts make. There are as many buckets, so packed rows grow with the square of this number;
+    where a chunk's task holds little of it at a time, chunks `grow` to keep the rows long."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // chunk_bytes))
+    more = min(GROW_MOST, max(1.0, (total / GROW_FROM) ** 0.5)) if grow else 1
+    return max(1, int(-(-total // (chunk_bytes * more))))
 
 
 def chunked(docs: DataFrame, chunks: int, rest: list[str] | None = None) -> DataFrame:
@@ -61,7 +71,7 @@ def presence(chunk: int, keys: np.ndarray, buckets: int) -> pa.Table:
     at = np.flatnonzero(fresh)
     twice = (np.diff(np.append(at, len(keys))) > 1).astype(np.uint64)
     own = keys[at]
-    return rows(chunk, [(b, (own[i:j] | twice[i:j]).tobytes()) for b, i, j in split(own, buckets)])
+    return rows(chunk, [(b, codec.pack(codec.gaps(own[i:j] | twice[i:j]))) for b, i, j in split(own, buckets)])
 
 
 def repeated(questions: DataFrame, crowd: int | None = None) -> DataFrame:
@@ -72,7 +82,7 @@ def repeated(questions: DataFrame, crowd: int | None = None) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
-        held = [np.frombuffer(p, np.uint64) for p in table.column("payload").to_pylist()]
+        held = [codec.from_gaps(codec.unpack(p)[0]) for p in table.column("payload").to_pylist()]
         flat = np.concatenate(held)
         owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
         keys = flat & ~np.uint64(1)
@@ -148,6 +158,4 @@ def keys_in(payloads: list[bytes]) -> np.ndarray:
 
 
 def doc_slices(docs: pa.Table, limit: int) -> Iterator[pa.Table]:
-    from docloom.llm.batches import slices
-
     yield from slices(docs.combine_chunks(), "text", limit)

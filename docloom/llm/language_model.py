@@ -14,15 +14,12 @@ doc_id has remainder 0. Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import exchange, hashing
+from docloom.llm import codec, exchange, hashing
 from docloom.llm.batches import string_buffers
 from docloom.llm.shared import id_hash, written
 
@@ -63,35 +60,6 @@ class Tokens:
         self.train = np.repeat(docs.column("train").to_numpy(zero_copy_only=False).astype(bool), n + 1)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _from_planes(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """uint64 columns, compressed byte plane by byte plane."""
-    return struct.pack("<H", len(columns)) + struct.pack(f"<{len(columns)}Q", *map(len, columns)) + zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planes, columns)))
-
-
-def _unpack(payload: bytes) -> list[np.ndarray]:
-    (n,) = struct.unpack_from("<H", payload)
-    sizes = struct.unpack_from(f"<{n}Q", payload, 2)
-    raw = zstandard.ZstdDecompressor().decompress(payload[2 + 8 * n :], max_output_size=8 * sum(sizes) + 1)
-    out, at = [], 0
-    for size in sizes:
-        out.append(_from_planes(raw[at : at + 8 * size], np.uint64) if size else np.zeros(0, np.uint64))
-        at += 8 * size
-    return out
-
-
-def _gaps(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=np.uint64(0))
-
-
 def _tokens(docs: pa.Table) -> list[tuple[pa.Table, Tokens]]:
     return [(part, Tokens(part)) for part in exchange.doc_slices(docs, SLICE_BYTES)]
 
@@ -109,10 +77,10 @@ def _count(buckets: int):
         columns: list[dict[int, tuple]] = []
         for kind in ("word", "pair"):
             keys, counts, _ = _tally(parts, kind)
-            columns.append({b: (_gaps(keys[i:j]), counts[i:j]) for b, i, j in exchange.split(keys, buckets)})
+            columns.append({b: (codec.gaps(keys[i:j]), counts[i:j]) for b, i, j in exchange.split(keys, buckets)})
         none = np.zeros(0, np.uint64)
         both = sorted(columns[0].keys() | columns[1].keys())
-        return exchange.rows(chunk, [(b, _pack(*columns[0].get(b, (none, none)), *columns[1].get(b, (none, none)))) for b in both])
+        return exchange.rows(chunk, [(b, codec.pack(*columns[0].get(b, (none, none)), *columns[1].get(b, (none, none)))) for b in both])
 
     return question
 
@@ -122,11 +90,11 @@ TOTALS = "chunk int, bucket int, payload binary, types long, tokens long"
 
 def _total(table: pa.Table) -> pa.Table:
     """Corpus totals for each chunk's keys in the order sent; the bucket's word types and tokens on its first row."""
-    held = [_unpack(p) for p in table.column("payload").to_pylist()]
+    held = [codec.unpack(p) for p in table.column("payload").to_pylist()]
     sent: list[list[np.ndarray]] = [[] for _ in held]
     types = tokens = 0
     for kind in range(KINDS):
-        keys = np.concatenate([np.cumsum(h[2 * kind], dtype=np.uint64) for h in held])
+        keys = np.concatenate([codec.from_gaps(h[2 * kind]) for h in held])
         counts = np.concatenate([h[2 * kind + 1] for h in held]).astype(np.int64)
         distinct, place = np.unique(keys, return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
@@ -139,13 +107,13 @@ def _total(table: pa.Table) -> pa.Table:
             sent[i].append(total[place[at : at + n]].astype(np.uint64))
             at += n
     rows = len(held)
-    columns = {"chunk": table.column("chunk"), "bucket": table.column("bucket"), "payload": pa.array([_pack(*s) for s in sent], pa.binary())}
+    columns = {"chunk": table.column("chunk"), "bucket": table.column("bucket"), "payload": pa.array([codec.pack(*s) for s in sent], pa.binary())}
     return pa.table(columns | {"types": pa.array([types] + [0] * (rows - 1), pa.int64()), "tokens": pa.array([tokens] + [0] * (rows - 1), pa.int64())})
 
 
 def _known(parts: list[Tokens], sent: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token of a chunk: count of the pair, of the context and of the word."""
-    replies = [_unpack(p) for _, p in sorted(sent)]
+    replies = [codec.unpack(p) for _, p in sorted(sent)]
     word_total, pair_total = (np.concatenate([r[k] for r in replies]).astype(np.int64) for k in range(KINDS))
     keys, _, place = _tally(parts, "word")
     c1 = word_total[place]

@@ -24,7 +24,7 @@ from docloom.llm.batches import string_buffers
 
 WINDOW = 35
 GRAM = 8
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 class Words:
@@ -102,7 +102,7 @@ def _kept(part: pa.Table, w: Words, gone: np.ndarray):
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    n = exchange.chunk_count(docs, chunk_bytes)
+    n = exchange.chunk_count(docs, chunk_bytes, grow=True)
     chunks = exchange.chunked(docs, n)
 
     def result(_: int, table: pa.Table, sent: list[bytes]) -> pa.Table:
@@ -121,7 +121,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chu
 
     A text that loses nothing stays as it is; of another the kept words are joined by one blank.
     """
-    n = exchange.chunk_count(docs, chunk_bytes)
+    n = exchange.chunk_count(docs, chunk_bytes, grow=True)
     chunks = exchange.chunked(docs, n, docs.columns)
 
     def result(_: int, table: pa.Table, sent: list[bytes]) -> pa.Table:

@@ -28,38 +28,39 @@ from docloom.llm.batches import string_buffers
 from docloom.llm.suffix_sort import deep_shallow
 
 LENGTH = 50
-GRAM = 16
-SLICE_BYTES = 1 << 20
+GRAM = 24
+SLICE_BYTES = 1 << 18
+#: Strings whose suffixes are sorted at once.
+SORT_STRINGS = 250_000
 #: Chunks that share an anchor from which on its contexts are sent string by string.
 CROWD = 4096
 FIRST = np.iinfo(np.int64).min
 
 
 class Runs:
-    """The strings of a few documents in runs that share an anchor."""
+    """The strings of a few documents in runs that share an anchor. `whole`: single strings will be asked for, too."""
 
-    def __init__(self, docs: pa.Table, length: int, gram: int):
+    def __init__(self, docs: pa.Table, length: int, gram: int, whole: bool = True):
         self.data, self.offsets = string_buffers(docs.column("text"))
         self.ids = docs.column("doc_id").fill_null(FIRST).to_numpy()
-        self.rolling = hashing.Rolling(self.data + np.uint64(1), hashing.BYTE_BASE)
+        rolling = hashing.Rolling(self.data + np.uint64(1), hashing.BYTE_BASE)
         self.length = length
         size = np.diff(self.offsets)
         n = np.maximum(size - length + 1, 0)
-        self.starts = np.arange(n.sum()) + np.repeat(self.offsets[:-1] - (np.cumsum(n) - n), n)
-        grams = self.rolling.every(gram)
-        place = hashing.anchors(grams, length - gram + 1)[self.starts]
+        starts = np.arange(n.sum()) + np.repeat(self.offsets[:-1] - (np.cumsum(n) - n), n)
+        grams = rolling.every(gram)
+        place = hashing.anchors(grams, length - gram + 1)[starts]
         fresh = np.ones(len(place), bool)
         fresh[1:] = place[1:] != place[:-1]
         at = np.flatnonzero(fresh)
         self.anchor = grams[place[at]]
-        self.low = self.starts[at]
+        self.low = starts[at]
         self.count = np.diff(np.append(at, len(place)))
         self.doc = np.searchsorted(self.offsets, self.low, "right") - 1
         self.id = self.ids[self.doc]
-
-    def contexts(self) -> np.ndarray:
-        """An even hash of each run's bytes."""
-        return hashing.mixed(self.rolling.runs(self.low, self.low + self.count + self.length - 1) + self.count.astype(np.uint64)) & ~np.uint64(1)
+        #: an even hash of each run's bytes
+        self.context = hashing.mixed(rolling.runs(self.low, self.low + self.count + length - 1) + self.count.astype(np.uint64)) & ~np.uint64(1)
+        self.rolling, self.starts = (rolling, starts) if whole else (None, None)
 
     def singles(self, low: np.ndarray) -> np.ndarray:
         """An odd hash of each string that is sent by itself."""
@@ -101,7 +102,7 @@ VERDICT = (np.uint64, np.uint8, np.uint8, np.int64)  # hash, runs, strings in ea
 
 def _anchors(length: int, gram: int, buckets: int):
     def question(chunk: int, docs: pa.Table) -> pa.Table:
-        keys = [np.zeros(0, np.uint64), *(Runs(part, length, gram).anchor for part in exchange.doc_slices(docs, SLICE_BYTES))]
+        keys = [np.zeros(0, np.uint64), *(Runs(part, length, gram, False).anchor for part in exchange.doc_slices(docs, SLICE_BYTES))]
         return exchange.presence(chunk, np.concatenate(keys), buckets)
 
     return question
@@ -119,7 +120,7 @@ def _contexts(length: int, gram: int, buckets: int):
             alone = hit & hashing.within(key, seeds[crowded])
             hit &= ~alone
             low, count = r.low[hit], r.count[hit]
-            anchor, ids, hashes = key[hit], r.id[hit], r.contexts()[hit]
+            anchor, ids, hashes = key[hit], r.id[hit], r.context[hit]
             if alone.any():
                 single = _ranges(r.low[alone], r.count[alone])
                 low, count = np.append(low, single), np.append(count, np.ones(len(single), np.int64))
@@ -152,21 +153,28 @@ def _judge(length: int, shallow: int):
         begin = np.cumsum(count + length - 1) - (count + length - 1)
         owner = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
         distinct, least, at = _least(hashes, ids)
-        # the contexts of an anchor that has several: their suffixes are sorted
-        around = anchor[at]
-        _, inverse, members = np.unique(around, return_inverse=True, return_counts=True)
-        mixed = members[inverse] > 1
+        # the contexts of an anchor that has several: their suffixes are sorted, so many at once
         strings = count[at]
         first = np.cumsum(strings) - strings
         smallest = np.repeat(least, strings)
-        if mixed.any():
-            k = at[mixed]
-            places = _ranges(begin[k], count[k])
-            where = _ranges(first[mixed], strings[mixed])
-            order, same = deep_shallow(np.concatenate([text, np.zeros(8, np.uint8)]), places, length, shallow)
+        by_anchor = np.argsort(anchor[at], kind="stable")
+        around = anchor[at][by_anchor]
+        edge = np.flatnonzero(np.append(True, around[1:] != around[:-1])) if len(around) else np.zeros(0, np.int64)
+        members = np.diff(np.append(edge, len(around)))
+        mixed = np.repeat(members > 1, members)
+        todo, group = by_anchor[mixed], np.repeat(np.arange(len(members)), members)[mixed]
+        text = np.concatenate([text, np.zeros(8, np.uint8)])
+        done = 0
+        while done < len(todo):
+            held_strings = np.cumsum(strings[todo[done:]])
+            stop = done + max(1, int(np.searchsorted(held_strings, SORT_STRINGS, "right")))
+            stop = done + int(np.searchsorted(group[done:], group[stop - 1], "right"))  # an anchor's contexts stay together
+            k = todo[done:stop]
+            where = _ranges(first[k], strings[k])
+            order, same = deep_shallow(text, _ranges(begin[at[k]], strings[k]), length, shallow)
             head = np.flatnonzero(~same)
-            group = np.minimum.reduceat(smallest[where[order]], head)
-            smallest[where[order]] = np.repeat(group, np.diff(np.append(head, len(order))))
+            smallest[where[order]] = np.repeat(np.minimum.reduceat(smallest[where[order]], head), np.diff(np.append(head, len(order))))
+            done = stop
         # what a chunk does not know itself: strings with a smaller id than the context has there
         slot = np.searchsorted(distinct, hashes)
         lowest = np.minimum.reduceat(smallest, first) if len(first) else smallest
@@ -196,6 +204,11 @@ def _owned(owner: np.ndarray, i: int) -> np.ndarray:
     return np.arange(np.searchsorted(owner, i), np.searchsorted(owner, i, "right"))
 
 
+def crowded(sent: list[bytes]) -> bool:
+    """Whether any verdict is on a single string."""
+    return any((_unpacked(p, *VERDICT)[0] & np.uint64(1)).any() for p in sent)
+
+
 def removal(parts: list[Runs], sent: list[bytes]) -> list[np.ndarray]:
     """For each slice of a chunk which bytes are removed."""
     held = [_unpacked(p, *VERDICT) for p in sent]
@@ -204,7 +217,7 @@ def removal(parts: list[Runs], sent: list[bytes]) -> list[np.ndarray]:
     run_at = (np.cumsum(runs.astype(np.int64)) - runs)[order]
     told, runs, size = told[order], runs[order].astype(np.int64), size.astype(np.int64)
     single = told[(told & np.uint64(1)) == 1]
-    own = [r.contexts() for r in parts]
+    own = [r.context for r in parts]
     keys, least, _ = _least(np.concatenate(own), np.concatenate([r.id for r in parts])) if parts else (np.zeros(0, np.uint64), None, None)
     out = []
     for r, hashes in zip(parts, own, strict=True):
@@ -239,7 +252,7 @@ def removal(parts: list[Runs], sent: list[bytes]) -> list[np.ndarray]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, chunk_bytes: int = exchange.CHUNK_BYTES, crowd: int = CROWD, shallow: int = 24) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with `keep_text` also what is left, as bytes."""
-    n = exchange.chunk_count(docs, chunk_bytes)
+    n = exchange.chunk_count(docs, chunk_bytes, grow=True)
     chunks = exchange.chunked(docs, n)
     seeds = exchange.repeated(exchange.ask(chunks, _anchors(length, gram, n)), crowd)
     contexts = exchange.with_answers(chunks, seeds, _contexts(length, gram, n), exchange.QUESTION)
@@ -247,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     def result(_: int, table: pa.Table, sent: list[bytes]) -> pa.Table:
         tables = list(exchange.doc_slices(table, SLICE_BYTES))
-        parts = [Runs(t, length, gram) for t in tables]
+        parts = [Runs(t, length, gram, crowded(sent)) for t in tables]
         out = [[], [], [], [], [], []]
         for t, r, gone in zip(tables, parts, removal(parts, sent), strict=True):
             enters = gone.copy()
