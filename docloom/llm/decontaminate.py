@@ -63,19 +63,19 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def rarest_terms(phrases: DataFrame, counts: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """The anchors of each phrase that can occur: phrase, n, term, offset, needed."""
+    """The anchors of each phrase that can occur: phrase_hash, term, offset, needed."""
     terms = phrases.select("phrase", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
     known = terms.join(counts, "term")
     whole = Window.partitionBy("phrase")
     rare = Window.partitionBy("phrase").orderBy("count", "offset")
     picked = known.withColumn("found", F.count("*").over(whole)).where(F.col("found") == F.col("n")).withColumn("r", F.row_number().over(rare)).where(F.col("r") <= anchors)
-    return picked.select("phrase", "n", "term", "offset", F.least(F.col("n"), F.lit(anchors)).alias("needed"))
+    return picked.select(F.xxhash64("phrase").alias("phrase_hash"), "term", "offset", F.least(F.col("n"), F.lit(anchors)).alias("needed"))
 
 
 def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Places at which all anchors of a phrase meet: doc_id, text_hash, start, phrase, n."""
-    moved = index.join(_bounded(anchors), "term").select("doc_id", "text_hash", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "n", "needed").where("start >= 0")
-    return moved.groupBy("doc_id", "text_hash", "start", "phrase", "n", "needed").agg(F.count("*").alias("met")).where("met >= needed").select("doc_id", "text_hash", "start", "phrase", "n")
+    """Places at which all anchors of a phrase meet: doc_id, text_hash, start, phrase_hash."""
+    moved = index.join(_bounded(anchors), "term").select("doc_id", "text_hash", (F.col("pos") - F.col("offset")).alias("start"), "phrase_hash", "needed").where("start >= 0")
+    return moved.groupBy("doc_id", "text_hash", "start", "phrase_hash").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met >= needed").drop("met", "needed")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -97,7 +97,7 @@ def _judged(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     anchors = written(rarest_terms(phrases, counts), "anchors")
     index = written(postings(docs, anchors.select("term").distinct()), "postings")
     places = candidates(index, anchors)
-    found = places.join(_bounded(phrases.select("phrase", "items")), "phrase").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "n", "phrase", "items"))).alias("places"))
+    found = places.join(_bounded(phrases.withColumn("phrase_hash", F.xxhash64("phrase"))), "phrase_hash").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "n", "phrase", "items"))).alias("places"))
     found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "places")
 
     rows = keyed(docs)
