@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text that a kernel takes at once; a longer document comes alone.
 SLICE_BYTES = 4 << 20
+#: Rows that it takes at once, however short.
+SLICE_ROWS = 4096
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -26,13 +28,13 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch, column: str, limit: int = SLICE_BYTES) -> Iterator:
+def slices(batch, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator:
     """Consecutive row ranges of a batch or table with at most `limit` bytes of text each (one row at least)."""
     data = batch.column(column)
     _, at = string_buffers(data)
     start, n = 0, len(at) - 1
     while start < n:
         stop = int(np.searchsorted(at, at[start] + limit, "right")) - 1
-        stop = min(n, max(stop, start + 1))
+        stop = min(n, start + rows, max(stop, start + 1))
         yield batch.slice(start, stop - start)
         start = stop

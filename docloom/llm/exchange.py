@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import codec
+from docloom.llm import codec, workers
 from docloom.llm.batches import slices
 
 #: Bytes of text in a chunk, on average.
@@ -138,6 +138,7 @@ def frequencies(questions: DataFrame) -> DataFrame:
 
 def ask(chunks: DataFrame, question: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        workers.release()
         return question(key[0].as_py(), table)
 
     return chunks.groupBy("chunk").applyInArrow(run, QUESTION)
@@ -147,6 +148,7 @@ def with_answers(chunks: DataFrame, replies: DataFrame, use: Callable[[int, pa.T
     """`use` sees a chunk's documents with the payloads sent to it; chunks without answers are there too."""
 
     def run(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
+        workers.release()
         return use(key[0].as_py(), docs, sent.column("payload").to_pylist())
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import workers
 from docloom.llm.shared import written
 
 #: Winners that a broadcast carries; with more hosts the pages are shuffled to them.
@@ -208,6 +209,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """The winning path of each host: host, path. Votes are one for each page; ties go to the path first in order."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for batch in batches:
             paths = []
             for page in batch.column("html").to_pylist():

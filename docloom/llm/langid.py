@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm import workers
 from docloom.llm.batches import slices
 from docloom.llm.shared import id_hash
 
@@ -30,6 +31,7 @@ TRAIN_CHARS_PER_ROW = 3000
 TRAIN_CHARS = 60_000
 #: Folded characters in one segment.
 SEGMENT = 256
+SLICE_BYTES = 1 << 20
 #: Distinct characters of the training text that the automata know; any other matches nothing.
 ALPHABET = 96
 UNKNOWN = "und"
@@ -192,14 +194,8 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_
     return samples
 
 
-_identifiers: dict[int, Identifier] = {}
-
-
 def _model(key: int, samples: dict[str, list[str]]) -> Identifier:
-    if key not in _identifiers:
-        _identifiers.clear()
-        _identifiers[key] = Identifier(samples)
-    return _identifiers[key]
+    return workers.hold(("languages", key), lambda: Identifier(samples))
 
 
 def _shared(docs: DataFrame, samples: dict[str, list[str]]):
@@ -213,7 +209,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared.value)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE_BYTES):
                 langs, scores = model.predict(rows.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -228,7 +224,7 @@ def recognised(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared.value)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE_BYTES):
                 langs, _ = model.predict(rows.column("text").to_pylist())
                 yield rows.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import exchange, hashing
+from docloom.llm import exchange, hashing, workers
 from docloom.llm.batches import slices, string_buffers
 from docloom.llm.components import components
 from docloom.llm.shared import written
@@ -35,7 +35,7 @@ SHINGLE = 5
 PERCENT = 85
 BANDS = 24
 BAND_ROWS = 6
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Members that one task compares with a centre.
 GROUP_MEMBERS = 256
 #: Ids that a broadcast carries when the texts of candidates are looked up.
@@ -109,6 +109,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> Da
     """doc_id, n_shingles, two sums that name the set, and its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 values, bounds = shingle_sets(*string_buffers(part.column("text")))

@@ -13,8 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+from docloom.llm import workers
+
 #: Pieces that the table of a Python worker holds before it is emptied.
-TABLE_PIECES = 1_000_000
+TABLE_PIECES = 600_000
 #: Characters of one text that are in pieces at the same time.
 SEGMENT_CHARS = 1 << 20
 #: Pieces that go through the library in one call.
@@ -173,11 +175,6 @@ class PieceEncoder:
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), counts
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
-
-
 def encoder(path: str, keeps_blanks: bool) -> PieceEncoder:
     """The worker's encoder for a vocabulary file; later tasks in the same worker find it filled."""
-    if (path, keeps_blanks) not in _encoders:
-        _encoders[path, keeps_blanks] = PieceEncoder(path, keeps_blanks)
-    return _encoders[path, keeps_blanks]
+    return workers.hold(("vocabulary", path, keeps_blanks), lambda: PieceEncoder(path, keeps_blanks))
