@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm import oracles
 from docloom.llm.ann import nearest
 from docloom.llm.bitpack import packed_round_trip
 from docloom.llm.decontaminate import decontaminate
@@ -65,4 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Windows and links that SQL can state; models, tokenizers, pages and approximate search it cannot."""
+    return {
+        "op1_near_dedup": oracles.NEAR_DEDUP,
+        "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op7_decontamination": oracles.DECONTAMINATION,
+        "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+    }
