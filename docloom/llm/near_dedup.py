@@ -203,6 +203,20 @@ def _moved(labelled: DataFrame, linked: DataFrame) -> DataFrame:
     return labelled.join(groups, "label", "left").withColumn("label", F.coalesce("low", "label")).drop("low")
 
 
+def _able(members: DataFrame, percent: int) -> DataFrame:
+    """Members of elements that span several groups, without those that can link with no one there.
+
+    Sets of n and m that first share their elements at p and q have at most min(n - p, m - q) in common and need
+    (n + m) * percent / (100 + percent). Seen from one set that bounds what the element's smallest set, and the one
+    with most left, must offer.
+    """
+    reach = 100 * F.col("n_shingles") - (100 + percent) * F.col("pos")
+    rows = members.withColumn("reach", reach)
+    spans = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("reach").alias("far"), F.min("n_shingles").alias("small")).where("a < b").drop("a", "b")
+    kept = rows.join(spans, "key").where((F.col("reach") >= percent * F.col("small")) & (F.col("far") >= percent * F.col("n_shingles")))
+    return kept.select(*members.columns)
+
+
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links that connect what is linked: u, v over class representatives."""
     keys = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
@@ -229,11 +243,11 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     spans = met.select("key", "rep").join(labelled.select("rep", "label"), "rep").groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     apart = met.select("key", "rep").join(spans, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
     rare = prefixes(written(sets.join(apart, "id", "left_semi"), "open-sets"), percent)
-    open_ = written(rare.join(labelled, "rep").select("key", "rep", "pos", "n_shingles", "weight", "label"), "open-members")
+    open_ = rare.join(labelled, "rep").select("key", "rep", "pos", "n_shingles", "weight", "label")
+    open_ = written(_able(_able(open_, percent), percent), "open-members")
     centres_each = 1
     while True:
-        spans = open_.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        live = written(open_.join(spans, "key", "left_semi"), "live-members")
+        live = written(_able(open_, percent), "live-members")
         if live.isEmpty():
             return found
         share = F.pmod(F.xxhash64("rep", F.lit(centres_each)), F.lit(centres_each))
