@@ -139,7 +139,9 @@ def frequencies(questions: DataFrame) -> DataFrame:
 def ask(chunks: DataFrame, question: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         workers.release()
-        return question(key[0].as_py(), table)
+        out = question(key[0].as_py(), table)
+        workers.trim()
+        return out
 
     return chunks.groupBy("chunk").applyInArrow(run, QUESTION)
 
@@ -149,7 +151,9 @@ def with_answers(chunks: DataFrame, replies: DataFrame, use: Callable[[int, pa.T
 
     def run(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
         workers.release()
-        return use(key[0].as_py(), docs, sent.column("payload").to_pylist())
+        out = use(key[0].as_py(), docs, sent.column("payload").to_pylist())
+        workers.trim()
+        return out
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 

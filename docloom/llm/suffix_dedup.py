@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from docloom.llm import exchange, hashing
+from docloom.llm import exchange, hashing, workers
 from docloom.llm.batches import string_buffers
 from docloom.llm.suffix_sort import deep_shallow
 
@@ -147,6 +147,7 @@ def _contexts(length: int, gram: int, buckets: int):
 
 def _judge(length: int, shallow: int):
     def answer(table: pa.Table) -> pa.Table:
+        workers.trim()
         held = [_unpacked(p, *CONTEXT) for p in table.column("payload").to_pylist()]
         anchor, hashes, ids, count, text = (np.concatenate(x) for x in zip(*held, strict=True))
         count = count.astype(np.int64)

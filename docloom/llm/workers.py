@@ -12,16 +12,24 @@ import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[Hashable, Any] = {}
 
 
+def trim() -> None:
+    """Hand memory that is free, but kept for later, back to the system: an idle worker then costs next to nothing."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release() -> None:
-    """Let go of what is held and hand the memory back to the system."""
+    """Let go of what is held."""
     if _held:
         _held.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def hold(key: Hashable, make: Callable[[], Any]) -> Any:
