@@ -145,9 +145,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     """
     crowd = pairs.groupBy("centre").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("groups"))
     dealt = pairs.join(crowd, "centre").withColumn("g", F.pmod(F.xxhash64("member"), F.col("groups")).cast("int")).drop("groups")
-    members = dealt.join(sets, dealt["member"] == sets["id"]).select("centre", "g", "member", "centre_label", "member_label", "items")
+    # both sides grow with the corpus, so they are merged at every size
+    members = dealt.join(sets.hint("merge"), dealt["member"] == sets["id"]).select("centre", "g", "member", "centre_label", "member_label", "items")
     whole = sets.select(F.col("id").alias("of"), F.col("items").alias("own"))
-    centres = dealt.select(F.col("centre").alias("of"), F.col("g").alias("h")).distinct().join(whole, "of")
+    centres = dealt.select(F.col("centre").alias("of"), F.col("g").alias("h")).distinct().join(whole.hint("merge"), "of")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, np.uint64) for x in right.column("own").to_pylist()]
@@ -221,7 +222,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     """Links that connect what is linked: u, v over class representatives."""
     keys = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     crowds = keys.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    met = written(keys.join(crowds, "key"), "bucket-members")
+    met = written(keys.join(crowds.hint("merge"), "key"), "bucket-members")
     weight = written(met.groupBy("rep", "n_shingles").agg(F.sum("crowd").alias("weight")), "bucket-weights")
     wanted = weight.select(F.col("rep").alias("id")).distinct()
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
