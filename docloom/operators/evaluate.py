@@ -178,8 +178,9 @@ def match_boxes(gold: DataFrame, pred: DataFrame, limit: float = IOU_LIMIT) -> D
 
 def text_errors(pages: DataFrame) -> DataFrame:
     """doc_id, cer, wer, ncer, nwer of pages with gold and pred texts, raw and normalised."""
-    g, p = normalize_text(F.col("gold")), normalize_text(F.col("pred"))
-    return pages.select("doc_id", cer(F.col("gold"), F.col("pred")).alias("cer"), wer(F.col("gold"), F.col("pred")).alias("wer"), cer(g, p).alias("ncer"), wer(g, p).alias("nwer"))
+    g, p = F.col("gold_plain"), F.col("pred_plain")
+    plain = pages.select("doc_id", "gold", "pred", normalize_text(F.col("gold")).alias("gold_plain"), normalize_text(F.col("pred")).alias("pred_plain"))
+    return plain.select("doc_id", cer(F.col("gold"), F.col("pred")).alias("cer"), wer(F.col("gold"), F.col("pred")).alias("wer"), cer(g, p).alias("ncer"), wer(g, p).alias("nwer"))
 
 
 def ocr_report(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
