@@ -285,11 +285,11 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' opening lines by grams and their vectors by cosine, fused."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    rows = docs.select(F.col("doc_id").alias("entry_id"), F.substring_index("text", "\n", 1).alias("text"), "embedding")
-    asked = rows.where("entry_id % 50 = 0").withColumnRenamed("entry_id", "query_id")
-    return retrieval.fused(retrieval.TfidfIndex(rows).search(asked.select("query_id", "text"), 20), retrieval.dense_search(asked.select("query_id", "embedding"), rows.select("entry_id", "embedding"), 20))
+    """Every twentieth id: its whole text by grams among all documents, its vector by cosine among all vectors, fused."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_id"), "embedding")
+    asked_texts, asked_vectors = (x.where("entry_id % 20 = 0").withColumnRenamed("entry_id", "query_id") for x in (texts, vectors))
+    return retrieval.fused(retrieval.TfidfIndex(texts).search(asked_texts, 20), retrieval.dense_search(asked_vectors, vectors, 20))
 
 
 # ---- scalar functions
