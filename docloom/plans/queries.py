@@ -333,6 +333,13 @@ def gstin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(key.alias("vendor"), number.alias("gstin"), F.size(parse.gstin_problems(number)).alias("problems"))
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, a, b: the texts of each benchmark item and the one with the next id, white space collapsed."""
+    b = table(spark, sf_dir, "benchmark")
+    p = b.select(F.col("item_id").alias("id"), F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("b")), "id")
+    return p.select("id", text.collapse(F.col("a")).alias("a"), text.collapse(F.col("b")).alias("b"))
+
+
 _ASCII = "regexp_full_match(a, '[ -~]*') AND regexp_full_match(b, '[ -~]*')"
 
 
@@ -340,12 +347,16 @@ _ASCII = "regexp_full_match(a, '[ -~]*') AND regexp_full_match(b, '[ -~]*')"
 SELECT id, levenshtein(a, b) / length(a) AS cer, 1 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b)) AS anls FROM q WHERE """ + _ASCII)
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate and normalised similarity of neighbouring benchmark items in ASCII."""
-    b = table(spark, sf_dir, "benchmark")
-    p = b.select(F.col("item_id").alias("id"), F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("b")), "id")
-    q = p.select("id", text.collapse(F.col("a")).alias("a"), text.collapse(F.col("b")).alias("b")).where(F.col("a").rlike("^[ -~]*$") & F.col("b").rlike("^[ -~]*$"))
+    q = _neighbours(spark, sf_dir).where(F.col("a").rlike("^[ -~]*$") & F.col("b").rlike("^[ -~]*$"))
     return q.select("id", text.cer(F.col("a"), F.col("b")).alias("cer"), text.anls(F.col("a"), F.col("b")).alias("anls"))
 
 
+@query()
+def text_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all neighbouring benchmark items; the SQL's edit distance counts bytes, so it can't state these."""
+    return _neighbours(spark, sf_dir).select("id", text.cer(F.col("a"), F.col("b")).alias("cer"), text.anls(F.col("a"), F.col("b")).alias("anls"))
+
+
 @query("SELECT page_id, CAST(regexp_matches(lower(url), '^https://') AS BOOLEAN) AS secure, CAST(length(regexp_replace(html, '<[^>]*>', '', 'g')) < length(html) AS BOOLEAN) AS tagged FROM pages")
 def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
