@@ -32,8 +32,8 @@ TRAIN_CHARS = 60_000
 #: Folded characters in one segment.
 SEGMENT = 256
 SLICE_BYTES = 1 << 20
-#: Distinct characters of the training text that the automata know; any other matches nothing.
-ALPHABET = 96
+#: Cells of an automaton's dense table; one with more states times letters is kept as sorted transitions.
+DENSE_CELLS = 1 << 24
 UNKNOWN = "und"
 
 _fold_table: np.ndarray | None = None
@@ -64,9 +64,9 @@ def folded(text: str) -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of several texts as one dense table: state 0 is dead, 1 is the start."""
+    """Suffix automaton of several texts as one dense table, or as sorted transitions if that were too large: state 0 is dead, 1 is the start."""
 
-    def __init__(self, texts: list[np.ndarray], alphabet: int):
+    def __init__(self, texts: list[np.ndarray], alphabet: int, dense_cells: int = DENSE_CELLS):
         follow: list[dict[int, int]] = [{}, {}]
         link, length = [0, 0], [0, 0]
         self.size = sum(map(len, texts))
@@ -109,15 +109,30 @@ class Automaton:
                     last = new
                 else:
                     last = end
-        self.table = np.zeros((len(follow), alphabet), np.int32)
-        for s, d in enumerate(follow):
-            for c, t in d.items():
-                self.table[s, c] = t
+        self.width = alphabet
+        self.start = np.zeros(alphabet, np.int32)
+        self.start[list(follow[1])] = list(follow[1].values())
+        edges = sum(map(len, follow))
+        key = np.fromiter((s * alphabet + c for s, d in enumerate(follow) for c in d), np.int64, edges)
+        to = np.fromiter((t for d in follow for t in d.values()), np.int32, edges)
+        self.table = None
+        if len(follow) * alphabet <= dense_cells:
+            self.table = np.zeros(len(follow) * alphabet, np.int32)
+            self.table[key] = to
+        else:
+            order = np.argsort(key)
+            self.keys, self.to = key[order], to[order]
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state * self.width + c]
+        key = state.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], np.int32(0))
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of the greedy parse of each lane; lanes are columns, longest first."""
-        width = self.table.shape[1]
-        flat, start = self.table.ravel(), self.table[1]
+        start = self.start
         restart = np.where(start == 0, 1, start).astype(np.int32)
         alone = (start == 0).astype(np.int32)
         state, count = np.ones(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
@@ -125,7 +140,7 @@ class Automaton:
         for t in range(len(lanes)):
             n = active[t]
             c, s = lanes[t, :n], state[:n]
-            after = flat[s * width + c]
+            after = self.step(s, c)
             dead = after == 0
             count[:n] += dead & (s != 1)
             count[:n] += np.where(dead, alone[c], 0)
@@ -134,9 +149,9 @@ class Automaton:
 
 
 class Identifier:
-    """The automata of all languages over one alphabet."""
+    """The automata of all languages, each over the letters of its own training text; any other matches nothing in it."""
 
-    def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS, alphabet: int = ALPHABET):
+    def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS, dense_cells: int = DENSE_CELLS):
         texts = {}
         for lang, rows in sorted(samples.items()):
             parts, left = [], train_chars
@@ -148,11 +163,17 @@ class Identifier:
             if parts:
                 texts[lang] = parts
         self.langs = list(texts)
-        points, seen = np.unique(np.concatenate([p for ps in texts.values() for p in ps]), return_counts=True) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        kept = points[np.argsort(-seen, kind="stable")[: alphabet - 1]]
-        self.codes = np.zeros(0x110000, np.uint8)
-        self.codes[kept] = np.arange(1, len(kept) + 1)
-        self.models = [Automaton([self.codes[p] for p in texts[x]], len(kept) + 1) for x in self.langs]
+        points = np.unique(np.concatenate([p for ps in texts.values() for p in ps])) if texts else np.zeros(0, np.int64)
+        self.codes = np.zeros(0x110000, np.min_scalar_type(len(points)))
+        self.codes[points] = np.arange(1, len(points) + 1)
+        self.models, self.own = [], []
+        for x in self.langs:
+            parts = [self.codes[p] for p in texts[x]]
+            known = np.unique(np.concatenate(parts))
+            own = np.zeros(len(points) + 1, self.codes.dtype)
+            own[known] = np.arange(1, len(known) + 1)
+            self.own.append(own)
+            self.models.append(Automaton([own[p] for p in parts], len(known) + 1, dense_cells))
         self.bits = np.array([np.log2(max(2, m.size)) for m in self.models])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -169,11 +190,11 @@ class Identifier:
         length = np.minimum(size[doc] - k * SEGMENT, SEGMENT)
         order = np.argsort(-length, kind="stable")
         doc, begin, length = doc[order], begin[order], length[order]
-        flat = np.concatenate([flat, np.zeros(SEGMENT, np.uint8)])
+        flat = np.concatenate([flat, np.zeros(SEGMENT, flat.dtype)])
         lanes = np.ascontiguousarray(flat[begin[None, :] + np.arange(int(length[0]))[:, None]])
         entropy = np.zeros((len(self.langs), len(size)))
         for i, model in enumerate(self.models):
-            phrases = np.bincount(doc, weights=model.phrases(lanes, length), minlength=len(size))
+            phrases = np.bincount(doc, weights=model.phrases(self.own[i][lanes], length), minlength=len(size))
             entropy[i] = phrases * self.bits[i] / np.maximum(size, 1)
         best = entropy.argmin(axis=0)
         weight = np.exp2(entropy.min(axis=0) - entropy)
