@@ -176,12 +176,28 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
 
 
 def best_container(nodes: list[Node]) -> Node:
-    """Containers pass a share of their score outwards; the first with the highest total is the page's."""
+    """Containers pass a share of their score outwards; the page's is the first with the highest total, or what it is part of.
+
+    That is the nearest article or main around it; without one, the outermost container below the body to which each
+    step outwards adds text.
+    """
     total = {id(n): n.score for n in nodes}
+    whole = dict(total)
     for n in reversed(nodes):
         if n.parent is not None:
             total[id(n.parent)] = total.get(id(n.parent), 0.0) + OUTER_SHARE * total[id(n)]
-    return max(nodes, key=lambda n: total[id(n)])
+            whole[id(n.parent)] = whole.get(id(n.parent), 0.0) + whole[id(n)]
+    best = max(nodes, key=lambda n: total[id(n)])
+    around = best
+    while around is not None:
+        if around.tag in ("article", "main"):
+            return around
+        around = around.parent
+    around = best
+    while (around := around.parent) is not None and around.tag not in ("", "body"):
+        if whole[id(around)] > whole[id(best)]:
+            best = around
+    return best
 
 
 def extract(page: str, path: str | None) -> str:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from docloom.llm import langid
+from docloom.llm import html_extract, langid
 
 
 def made_languages(rng):
@@ -34,3 +34,22 @@ def test_sparse_automaton_equals_dense():
     lanes, lengths = rng.integers(0, 6, (40, 50)), np.sort(rng.integers(1, 41, 50))[::-1]
     assert dense.table is not None and sparse.table is None
     assert dense.phrases(lanes, lengths).tolist() == sparse.phrases(lanes, lengths).tolist()
+
+
+LONG, SHORT = "text of the article " * 40, "another passage " * 30
+LAYOUTS = {
+    "lead": ("<article><h1>Title</h1><p>Lead of the story</p><div class=content><p>{long}</p></div></article>", ["Title", "Lead of the story", LONG]),
+    "deep": ("<main><h1>Title</h1><div class=x><div class=y><p>{long}</p></div></div></main>", ["Title", LONG]),
+    "split": ("<article><section class=one><p>{long}</p></section><section class=two><p>{short}</p></section></article>", [LONG, SHORT]),
+    "plain": ("<div class=post><h1>Title</h1><p>Lead</p><div class=content><p>{long}</p></div></div>", ["Title", "Lead", LONG]),
+    "comments": ("<article><h1>Title</h1><div class=content><p>{long}</p></div><div class=comments><p>{short}</p></div></article>", ["Title", LONG]),
+    "wrapped": ("<div class=page><div class=links><a href=\"/x\">" + "elsewhere " * 9 + "</a></div><div class=content><p>{long}</p></div></div>", [LONG]),
+}
+
+
+def test_whole_article_is_taken(spark):
+    rows = [(k, f"http://{name}/", "<body><nav>Menu</nav>" + page.format(long=LONG, short=SHORT) + "<footer>End</footer></body>") for name, (page, _) in LAYOUTS.items() for k in range(3)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == "\n".join(" ".join(x.split()) for x in LAYOUTS[r.url[7:-1]][1]), r.url
