@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.batches import slices
 from docloom.llm.shared import scratch
-from docloom.llm.tokenize import encoder
+from docloom.llm.tokenize import SLICE_BYTES, encoder
 
 MAGIC, VERSION = b"DLBP", 1
 HEADER = struct.Struct("<4sHHIQI")
@@ -104,7 +104,7 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, end_id: int, keeps
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "first": first, "doc_ids": docs_of, "counts": counts_of, "payload": pack(flat, bits)}], schema=schema)
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 flat, counts = enc.encode(piece.column("text").to_pylist())
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, end_id)

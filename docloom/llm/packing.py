@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.batches import slices
 from docloom.llm.shared import written
-from docloom.llm.tokenize import encoder
+from docloom.llm.tokenize import SLICE_BYTES, encoder
 
 SEQUENCE = 2048
 UNIT = 8
@@ -133,7 +133,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, sequence: int = SEQUENCE,
         enc, part = encoder(vocabulary, keeps_blanks), TaskContext.get().partitionId()
         seen = np.zeros(sequence // unit + 1, np.int64)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE_BYTES):
                 flat, counts = enc.encode(rows.column("text").to_pylist())
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1

@@ -2,21 +2,25 @@
 
 A text is cut only where every pre-tokenizer of the two supported kinds cuts as well, so encoding the
 pieces and joining their ids gives what encoding the whole text gives. Each distinct piece goes through the
-library once and then comes from a bounded table.
+library once and then comes from two bounded tables, of which the older goes when the younger is full.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from docloom.llm import workers
 
-#: Pieces that the table of a Python worker holds before it is emptied.
-TABLE_PIECES = 600_000
+#: Pieces that the two tables of a Python worker hold, about. When the younger one has half of them it becomes the older
+#: one, whose pieces move back as they are met; what was not met meanwhile goes.
+TABLE_PIECES = 800_000
+#: Bytes of text that are encoded at once: their pieces stay in a core's cache.
+SLICE_BYTES = 1 << 18
 #: Characters of one text that are in pieces at the same time.
 SEGMENT_CHARS = 1 << 20
 #: Pieces that go through the library in one call.
@@ -26,7 +30,7 @@ ENDS = frozenset(".,!?;:")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 _LOWER_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
-_LOOSE = re.compile(r" \s|\s |^\s|\s$")
+_WHITE = [chr(c) for c in range(0x110000) if chr(c).isspace()]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -42,6 +46,7 @@ def _visible_bytes() -> dict[int, int]:
 
 
 _VISIBLE = _visible_bytes()
+_BLANK = chr(_VISIBLE[32])
 
 
 def _segments(text: str) -> Iterator[str]:
@@ -56,9 +61,14 @@ def _segments(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def _loose(text: str) -> bool:
+    """Whether a blank has white space beside it, or the text begins or ends with any."""
+    return text[:1].isspace() or text[-1:].isspace() or any(c + " " in text or " " + c in text for c in _WHITE if c in text)
+
+
 def prefixed_pieces(text: str) -> list[str]:
     """Pieces for byte-level pre-tokenizers that give a blank to the word behind it."""
-    parts = text.split(" ") if _LOOSE.search(text) is None else _CUT.split(text)
+    parts = _CUT.split(text) if _loose(text) else text.split(" ")
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
@@ -75,26 +85,20 @@ def blank_pieces(text: str) -> list[str]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER_BLANKS).decode("utf-8", "surrogatepass").split(" ")
 
 
-class PieceEncoder:
-    """Texts to token ids. `keeps_blanks`: the vocabulary is byte-level and blanks are part of tokens."""
+class Table:
+    """Distinct pieces and their ids, one after another."""
 
-    def __init__(self, path: str, keeps_blanks: bool, table_pieces: int = TABLE_PIECES):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.vocab_size = self.tokenizer.get_vocab_size()
-        self.model = self.tokenizer.model
-        self.spelled = (lambda p: p.encode().decode("latin-1").translate(_VISIBLE)) if keeps_blanks else (lambda p: p.lower().encode().decode("latin-1").translate(_VISIBLE))
-        self.pieces = _prefixed_segment if keeps_blanks else blank_pieces
-        self.table_pieces = table_pieces
-        self._clear()
-
-    def _clear(self) -> None:
+    def __init__(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, fresh: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Where each piece is; -1 for one that is not there."""
+        return np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def add(self, fresh: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         first, total = len(self.known), len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -105,43 +109,75 @@ class PieceEncoder:
         self.used += total
         self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
 
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin, size = self.start[at], self.start[at + 1] - self.start[at]
         shift = np.repeat(begin - (np.cumsum(size) - size), size)
         return self.flat[shift + np.arange(len(shift))], size
 
+
+class PieceEncoder:
+    """Texts to token ids. `keeps_blanks`: the vocabulary is byte-level and blanks are part of tokens."""
+
+    def __init__(self, path: str, keeps_blanks: bool, table_pieces: int = TABLE_PIECES):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.vocab_size = self.tokenizer.get_vocab_size()
+        self.model = self.tokenizer.model
+        self.keeps_blanks = keeps_blanks
+        self.pieces = _prefixed_segment if keeps_blanks else blank_pieces
+        self.table_pieces = table_pieces
+        self.young, self.old = Table(), Table()
+
     def _learn(self, fresh: list[str]) -> None:
         """Whole pieces go through the library in groups; a mark behind an ASCII letter is a token of its own."""
         ended = [p for p in fresh if p[-1] in ENDS and len(p) > 1 and p[-2] in LETTERS]
         plain = set(fresh).difference(ended)
         plain.update(p[:-1] for p in ended)
         plain.update(p[-1] for p in ended)
-        whole = list(plain.difference(self.known))
-        words = [p for p in whole if _WORD.fullmatch(p)]
+        whole = self._recalled(list(plain.difference(self.young.known)))
+        is_word = [_WORD.fullmatch(p) is not None for p in whole]
+        words = list(compress(whole, is_word))
         if words:
-            tokens = list(map(self.model.tokenize, map(self.spelled, words)))
-            self._add(words, np.fromiter((t.id for x in tokens for t in x), np.uint32), np.fromiter(map(len, tokens), np.int64, len(words)))
-        mixed = [p for p in whole if not _WORD.fullmatch(p)]
+            tokens = [self.model.tokenize(self._spelled(p)) for p in words]
+            self.young.add(words, np.array([t.id for x in tokens for t in x], np.uint32), np.fromiter(map(len, tokens), np.int64, len(words)))
+        mixed = [p for p, w in zip(whole, is_word, strict=True) if not w]
         for k in range(0, len(mixed), GROUP):
             part = mixed[k : k + GROUP]
             code = self.tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
-            self._add(part, np.array(code.ids, np.uint32), np.bincount(np.array(code.word_ids, np.int64), minlength=len(part)))
-        ended = [p for p in ended if p not in self.known]
+            self.young.add(part, np.array(code.ids, np.uint32), np.bincount(np.array(code.word_ids, np.int64), minlength=len(part)))
+        ended = [p for p in ended if p not in self.young.known]
         if ended:
-            at = np.fromiter((self.known[x] for p in ended for x in (p[:-1], p[-1])), np.int64, 2 * len(ended))
-            flat, size = self._gather(at)
-            self._add(ended, flat, size.reshape(-1, 2).sum(axis=1))
+            flat, size = self.young.gather(self.young.places([x for p in ended for x in (p[:-1], p[-1])]))
+            self.young.add(ended, flat, size.reshape(-1, 2).sum(axis=1))
+
+    def _spelled(self, word: str) -> str:
+        """A word in the characters of the vocabulary; ASCII letters stand for themselves."""
+        if not self.keeps_blanks:
+            word = word.lower()
+        if word.isascii():
+            return word.replace(" ", _BLANK)
+        return word.encode().decode("latin-1").translate(_VISIBLE)
+
+    def _recalled(self, pieces: list[str]) -> list[str]:
+        """Takes what the older table knows over into the younger; the pieces that neither knows."""
+        at = self.old.places(pieces)
+        there = at >= 0
+        if there.any():
+            self.young.add(list(compress(pieces, there.tolist())), *self.old.gather(at[there]))
+        return list(compress(pieces, (~there).tolist()))
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row and how many each has."""
-        fresh = list(set(pieces).difference(self.known))
-        if fresh:
-            if len(self.known) + len(fresh) > self.table_pieces and len(self.known) > 1:
-                self._clear()
-                fresh = list(set(pieces))
-            self._learn(fresh)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        return self._gather(at)
+        if len(self.young.known) > self.table_pieces // 2:
+            self.young, self.old = Table(), self.young
+        at = self.young.places(pieces)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [pieces[i] for i in missing.tolist()]
+            if fresh := self._recalled(list(set(unknown))):
+                self._learn(fresh)
+            at[missing] = self.young.places(unknown)
+        return self.young.gather(at)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text."""
