@@ -31,11 +31,12 @@ LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 _LOWER_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
 _WHITE = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+_LINES = frozenset(" \n")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-#: One run of Latin letters, with or without the blank before it: a single pre-token of either kind.
-_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The key of one run of Latin letters, with or without a blank before it: a single pre-token of either kind.
+_WORD = re.compile(r"\n?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -61,22 +62,27 @@ def _segments(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def _loose(text: str) -> bool:
-    """Whether a blank has white space beside it, or the text begins or ends with any."""
-    return text[:1].isspace() or text[-1:].isspace() or any(c + " " in text or " " + c in text for c in _WHITE if c in text)
-
-
 def prefixed_pieces(text: str) -> list[str]:
-    """Pieces for byte-level pre-tokenizers that give a blank to the word behind it."""
-    parts = _CUT.split(text) if _loose(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    """Keys of the pieces for byte-level pre-tokenizers, which give a blank to the word behind it.
+
+    A key that begins with a line end stands for what follows it there, any other for itself behind a blank. A line end
+    between two other marks is a piece of its own, so lines that meet do not make ever new pieces.
+    """
+    other = [c for c in _WHITE if c in text]
+    if text[:1].isspace() or text[-1:].isspace() or any(c + " " in text or " " + c in text for c in other):
+        parts = _CUT.split(text)
+    elif "\n\n" in text or not _LINES.issuperset(other):
+        parts = text.split(" ")
+    else:
+        return ("\n" + text.replace("\n", " \n\n \n")).split(" ")
+    return ["\n" + parts[0], *parts[1:]]
 
 
 def _prefixed_segment(segment: str) -> list[str]:
     if segment[:1] == " " and len(segment) > 1 and not segment[1].isspace():
-        parts = prefixed_pieces(segment[1:])
-        parts[0] = " " + parts[0]
-        return parts
+        keys = prefixed_pieces(segment[1:])
+        keys[0] = keys[0][1:]
+        return keys
     return prefixed_pieces(segment)
 
 
@@ -89,7 +95,7 @@ class Table:
     """Distinct pieces and their ids, one after another."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known: dict[str, int] = {"": 0}  # only vocabularies that drop blanks have empty keys
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -124,6 +130,7 @@ class PieceEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.keeps_blanks = keeps_blanks
+        self.alone = "\n" if keeps_blanks else ""  # the key of a mark without a blank
         self.pieces = _prefixed_segment if keeps_blanks else blank_pieces
         self.table_pieces = table_pieces
         self.young, self.old = Table(), Table()
@@ -131,9 +138,10 @@ class PieceEncoder:
     def _learn(self, fresh: list[str]) -> None:
         """Whole pieces go through the library in groups; a mark behind an ASCII letter is a token of its own."""
         ended = [p for p in fresh if p[-1] in ENDS and len(p) > 1 and p[-2] in LETTERS]
+        marks = [self.alone + p[-1] for p in ended]
         plain = set(fresh).difference(ended)
         plain.update(p[:-1] for p in ended)
-        plain.update(p[-1] for p in ended)
+        plain.update(marks)
         whole = self._recalled(list(plain.difference(self.young.known)))
         is_word = [_WORD.fullmatch(p) is not None for p in whole]
         words = list(compress(whole, is_word))
@@ -143,20 +151,28 @@ class PieceEncoder:
         mixed = [p for p, w in zip(whole, is_word, strict=True) if not w]
         for k in range(0, len(mixed), GROUP):
             part = mixed[k : k + GROUP]
-            code = self.tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
+            code = self.tokenizer.encode_batch([list(map(self._piece, part))], is_pretokenized=True, add_special_tokens=False)[0]
             self.young.add(part, np.array(code.ids, np.uint32), np.bincount(np.array(code.word_ids, np.int64), minlength=len(part)))
-        ended = [p for p in ended if p not in self.young.known]
-        if ended:
-            flat, size = self.young.gather(self.young.places([x for p in ended for x in (p[:-1], p[-1])]))
-            self.young.add(ended, flat, size.reshape(-1, 2).sum(axis=1))
+        pairs = [(p, m) for p, m in zip(ended, marks, strict=True) if p not in self.young.known]
+        if pairs:
+            flat, size = self.young.gather(self.young.places([x for p, m in pairs for x in (p[:-1], m)]))
+            self.young.add([p for p, _ in pairs], flat, size.reshape(-1, 2).sum(axis=1))
+
+    def _piece(self, key: str) -> str:
+        if not self.keeps_blanks:
+            return key
+        return key[1:] if key[0] == "\n" else " " + key
 
-    def _spelled(self, word: str) -> str:
+    def _spelled(self, key: str) -> str:
         """A word in the characters of the vocabulary; ASCII letters stand for themselves."""
         if not self.keeps_blanks:
-            word = word.lower()
-        if word.isascii():
-            return word.replace(" ", _BLANK)
-        return word.encode().decode("latin-1").translate(_VISIBLE)
+            word = key.lower()
+        else:
+            word = key[1:] if key[0] == "\n" else _BLANK + key
+            if key.isascii():
+                return word
+            word = self._piece(key)
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
 
     def _recalled(self, pieces: list[str]) -> list[str]:
         """Takes what the older table knows over into the younger; the pieces that neither knows."""
