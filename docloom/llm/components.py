@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import written
+from docloom.llm.shared import Workspace
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     components, and the links end as one star for each. Rounds grow with the logarithm of the number of nodes.
     """
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-    now = written(edges.where("u != v").select(*pair).distinct(), "links")
+    work = Workspace(edges.sparkSession)
+    now = work.written(edges.where("u != v").select(*pair).distinct(), "links")
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        after = written(small.where("u != v").distinct(), "links")
+        after = work.written(small.where("u != v").distinct(), "links")
         mark, before = _mark(after), mark
+        work.clear(now)
         now = after
         if mark == before:
             break

@@ -7,14 +7,20 @@ bucket keys. Documents with equal sets are one class; classes that meet in a buc
 linked at a similarity of `PERCENT` / 100 or more. Links join into components.
 
 No bucket is expanded into its pairs. First each member is compared with one centre, the weightiest of its buckets;
-what links is one group. Members of buckets that still span several groups meet again by the rarest elements of their
-sets, of which linked sets share one, in rounds: a few centres of each element's members are compared with those of
-other groups that can have enough in common. A centre leaves, having met every member, and the number of centres
-grows fourfold each round, until each element is within one group or has no pair left.
+what links is one group. That settles a bucket whose members all link with its centre. Verification of the others, whose
+members may link in any other way, goes by full sets and not by bands: a crowded bucket would have to be expanded into
+all its pairs, while two sets that are similar enough must share one of their rarest elements. So members of buckets
+that still span several groups meet again by those elements, in rounds: a few centres of each element's members are
+compared with those of other groups that can have enough in common. A centre leaves, having met every member, and the
+number of centres grows fourfold each round, until each element is within one group or has no pair left.
+
+Hot buckets and elements: what is known of a key is aggregated on the map side and written, and its members join that
+one row, a join that AQE splits when a key is hot. Full sets are written once, in buckets of the id, so no round moves
+sets other than those of its own pairs.
 
 A document with null or empty text, or without words, has an empty set and stands alone. A null doc_id stands alone
-too: its component is null and it is kept. Rows that share a doc_id and text are alike; with other texts each row
-follows its own. An empty table gives no rows. Columns other than the id and the text are not read.
+too: its component is null and it is kept. The doc_id is the node: rows that share one are one document, which links with
+whatever any of their texts links with. An empty table gives no rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from docloom.llm import exchange, hashing, workers
 from docloom.llm.batches import slices, string_buffers
 from docloom.llm.components import components
-from docloom.llm.shared import written
+from docloom.llm.shared import Workspace
 
 SHINGLE = 5
 PERCENT = 85
@@ -38,8 +44,6 @@ BAND_ROWS = 6
 SLICE_BYTES = 1 << 19
 #: Members that one task compares with a centre.
 GROUP_MEMBERS = 256
-#: Ids that a broadcast carries when the texts of candidates are looked up.
-BROADCAST_IDS = 500_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,10 +149,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     """
     crowd = pairs.groupBy("centre").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("groups"))
     dealt = pairs.join(crowd, "centre").withColumn("g", F.pmod(F.xxhash64("member"), F.col("groups")).cast("int")).drop("groups")
-    # both sides grow with the corpus, so they are merged at every size
-    members = dealt.join(sets.hint("merge"), dealt["member"] == sets["id"]).select("centre", "g", "member", "centre_label", "member_label", "items")
+    members = dealt.join(sets, dealt["member"] == sets["id"]).select("centre", "g", "member", "centre_label", "member_label", "items")
     whole = sets.select(F.col("id").alias("of"), F.col("items").alias("own"))
-    centres = dealt.select(F.col("centre").alias("of"), F.col("g").alias("h")).distinct().join(whole.hint("merge"), "of")
+    centres = dealt.select(F.col("centre").alias("of"), F.col("g").alias("h")).distinct().join(whole, "of")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, np.uint64) for x in right.column("own").to_pylist()]
@@ -204,7 +207,7 @@ def _moved(labelled: DataFrame, linked: DataFrame) -> DataFrame:
     return labelled.join(groups, "label", "left").withColumn("label", F.coalesce("low", "label")).drop("low")
 
 
-def _able(members: DataFrame, percent: int) -> DataFrame:
+def _able(work: Workspace, members: DataFrame, percent: int) -> DataFrame:
     """Members of elements that span several groups, without those that can link with no one there.
 
     Sets of n and m that first share their elements at p and q have at most min(n - p, m - q) in common and need
@@ -214,70 +217,89 @@ def _able(members: DataFrame, percent: int) -> DataFrame:
     reach = 100 * F.col("n_shingles") - (100 + percent) * F.col("pos")
     rows = members.withColumn("reach", reach)
     spans = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("reach").alias("far"), F.min("n_shingles").alias("small")).where("a < b").drop("a", "b")
-    kept = rows.join(spans, "key").where((F.col("reach") >= percent * F.col("small")) & (F.col("far") >= percent * F.col("n_shingles")))
-    return kept.select(*members.columns)
+    spans = work.written(spans, "spans")
+    kept = rows.join(spans.hint("merge"), "key").where((F.col("reach") >= percent * F.col("small")) & (F.col("far") >= percent * F.col("n_shingles")))
+    able = work.written(kept.select(*members.columns), "live-members")
+    work.clear(spans)
+    return able
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(work: Workspace, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links that connect what is linked: u, v over class representatives."""
     keys = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    crowds = keys.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    met = written(keys.join(crowds.hint("merge"), "key"), "bucket-members")
-    weight = written(met.groupBy("rep", "n_shingles").agg(F.sum("crowd").alias("weight")), "bucket-weights")
-    wanted = weight.select(F.col("rep").alias("id")).distinct()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id")
-    sets = written(full_sets(texts), "full-sets")
+    crowds = work.written(keys.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"), "bucket-sizes")
+    met = work.written(keys.join(crowds.hint("merge"), "key"), "bucket-members")
+    weight = work.written(met.groupBy("rep", "n_shingles").agg(F.sum("crowd").alias("weight")), "bucket-weights")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(weight.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
+    sets = work.written(full_sets(texts), "full-sets", by="id")
 
     # each member with one centre, the weightiest of its buckets
     heavy = F.struct("weight", -F.col("rep"))
     weighed = met.select("key", "rep").join(weight, "rep")
-    centres = weighed.groupBy("key").agg(F.max_by(F.struct("rep", "n_shingles", "weight"), heavy).alias("c"))
+    centres = work.written(weighed.groupBy("key").agg(F.max_by(F.struct("rep", "n_shingles", "weight"), heavy).alias("c")), "bucket-centres")
     size = F.col("n_shingles"), F.col("c.n_shingles")
-    near = met.select("key", "rep", "n_shingles").join(centres, "key").where((F.col("rep") != F.col("c.rep")) & (100 * F.least(*size) >= percent * F.greatest(*size)))
+    near = met.select("key", "rep", "n_shingles").join(centres.hint("merge"), "key").where((F.col("rep") != F.col("c.rep")) & (100 * F.least(*size) >= percent * F.greatest(*size)))
     first = near.groupBy("rep").agg(F.max_by("c.rep", F.struct("c.weight", -F.col("c.rep"))).alias("centre")).select("centre", F.col("rep").alias("member"), F.col("centre").alias("centre_label"), F.col("rep").alias("member_label"))
-    linked = written(verified(written(first, "candidate-pairs"), sets, percent), "links-found")
+    linked = work.written(verified(work.written(first, "candidate-pairs"), sets, percent), "links-found")
     found = linked.select(F.col("centre").alias("u"), F.col("member").alias("v"))
 
     # members of buckets that still span groups meet again, by the rare elements of their sets
-    labelled = written(_moved(weight.withColumn("label", F.col("rep")), linked), "labels")
+    labelled = work.written(_moved(weight.withColumn("label", F.col("rep")), linked), "labels")
     spans = met.select("key", "rep").join(labelled.select("rep", "label"), "rep").groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    apart = met.select("key", "rep").join(spans, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
-    rare = prefixes(written(sets.join(apart, "id", "left_semi"), "open-sets"), percent)
-    open_ = rare.join(labelled, "rep").select("key", "rep", "pos", "n_shingles", "weight", "label")
-    open_ = written(_able(_able(open_, percent), percent), "open-members")
-    centres_each = 1
+    spans = work.written(spans, "bucket-spans")
+    apart = work.written(met.select("key", "rep").join(spans.hint("merge"), "key", "left_semi").select(F.col("rep").alias("id")).distinct(), "open-ids")
+    rare = prefixes(work.written(sets.join(apart, "id", "left_semi"), "open-sets"), percent)
+    open_ = work.written(rare.join(labelled, "rep").select("key", "rep", "pos", "n_shingles", "weight", "label"), "open-members")
+    work.clear(crowds, met, centres, spans)
+    once = _able(work, open_, percent)
+    work.clear(open_)
+    open_, centres_each = once, 1
     while True:
-        live = written(_able(open_, percent), "live-members")
+        live = _able(work, open_, percent)
+        work.clear(open_)
         if live.isEmpty():
             return found
         share = F.pmod(F.xxhash64("rep", F.lit(centres_each)), F.lit(centres_each))
-        chosen = written(live.groupBy("key", share.alias("share")).agg(F.max_by(F.struct("rep", "n_shingles", "pos", "label"), heavy).alias("c")).select("key", "c"), "centres")
+        chosen = work.written(live.groupBy("key", share.alias("share")).agg(F.max_by(F.struct("rep", "n_shingles", "pos", "label"), heavy).alias("c")).select("key", "c"), "centres")
         # the first element that two sets share bounds what they can have in common
         common = F.least(F.col("n_shingles") - F.col("pos"), F.col("c.n_shingles") - F.col("c.pos"))
         close = (F.col("label") != F.col("c.label")) & ((100 + percent) * common >= percent * (F.col("n_shingles") + F.col("c.n_shingles")))
-        pairs = live.join(chosen, "key").where(close).select(F.col("c.rep").alias("centre"), F.col("rep").alias("member"), F.col("c.label").alias("centre_label"), F.col("label").alias("member_label")).distinct()
-        linked = written(verified(written(pairs, "candidate-pairs"), sets, percent), "links-found")
+        pairs = live.join(chosen.hint("merge"), "key").where(close).select(F.col("c.rep").alias("centre"), F.col("rep").alias("member"), F.col("c.label").alias("centre_label"), F.col("label").alias("member_label")).distinct()
+        pairs = work.written(pairs, "candidate-pairs")
+        linked = work.written(verified(pairs, sets, percent), "links-found")
         found = found.unionByName(linked.select(F.col("centre").alias("u"), F.col("member").alias("v")))
         left = live.join(chosen.select("key", F.col("c.rep").alias("rep")), ["key", "rep"], "left_anti")
-        open_ = written(_moved(left, linked), "open-members")
+        open_ = work.written(_moved(left, linked), "open-members")
+        work.clear(live, chosen, pairs)
         centres_each *= 4
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    rows = written(signatures(docs), "signatures")
+    work, result = Workspace(docs.sparkSession), Workspace(docs.sparkSession)
+    rows = work.written(signatures(docs), "signatures")
     named = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = written(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "set-classes")
+    classes = work.written(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "set-classes")
     joined = rows.drop("keys").join(classes.drop("keys"), ["f1", "f2", "n_shingles"], "left")
     rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
-    joined = joined.select("doc_id", "n_shingles", rep.alias("rep"))
-    groups = components(links(docs, classes, percent))
-    out = joined.join(groups, (joined["rep"] == groups["node"]) & (F.col("n_shingles") > 0), "left").withColumn("component_id", F.coalesce("component", "rep"))
+    joined = result.written(joined.select("doc_id", "n_shingles", rep.alias("rep")), "documents-by-class")
+    # a doc_id whose rows have several sets is one node
+    several = joined.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("w")).where("u < w").drop("w")
+    same = joined.join(several, "doc_id").select("u", F.col("rep").alias("v"))
+    groups = components(links(work, docs, classes, percent).unionByName(same))
+    work.clear()
+    out = joined.join(groups, joined["rep"] == groups["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are the first of their group of near-duplicates."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row, with all its columns, of each group of near-duplicates; of rows that share its doc_id the least text.
+
+    Rows without a doc_id stand alone and stay.
+    """
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.where(docs["doc_id"].isNotNull())
+    named = named.join(kept, named["doc_id"].cast("long") == kept["kept_id"], "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = named.groupBy(F.col("doc_id").alias("of")).agg(F.min_by(whole, F.struct(F.col("text").isNull(), "text")).alias("row"))
+    return one.select("row.*").unionByName(docs.where(docs["doc_id"].isNull()))
