@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Vectors are scaled to length one and turned by fast pseudo-rotations (three rounds of random signs and a Hadamard
-transform); a hash is the signed axis nearest to the turned vector. A table joins `hashes` of them. Queries look into
-their own cell of each table and into the cells of the next best axes. A cell's candidates are compared in blocks, and
-each block returns a query's best few, which are ranked exactly on the original vectors.
+transform); a hash is the signed axis nearest to the turned vector. A cell of a table joins several of them: the more
+vectors, the more (`layout`), so cells stay small and the compared share falls as tables grow. Queries look into their own
+cell of each table and into the cells of the next best axes. Cells are dealt to shards; a shard compares its queries with
+the candidates of the cells that they ask for and returns each query's best few, which are ranked exactly on the
+original vectors. A query for which the cells give too few is compared with all vectors, block by block.
 
 Equal vectors are one class: the index holds each distinct vector once, with the smallest ids that any answer can
-need. Cells are split into blocks of bounded size, so a crowded cell is many tasks. Vectors that are null, zero or
-hold null or non-finite components take no part, as queries or candidates; vectors of another length than the most
-common one do not either. Rows that repeat an id count once each. Other columns are not read.
+need. A crowded cell is dealt to blocks of bounded size. Vectors that are null, zero or hold null or non-finite
+components take no part, as queries or candidates. Vectors of different lengths are never compared; each length has an
+index of its own. Of equal scores the smaller id comes first, however many there are. Rows
+that share an id are one: it counts once, with the vector that is nearest, and never as a neighbour of itself. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -19,21 +23,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from docloom.llm.shared import written
+from docloom.llm import hashing
+from docloom.llm.shared import Workspace, written
 
-TABLES = 12
-PROBES = 5
-HASHES = 1
-#: Distinct vectors of a cell that are compared in one block.
-BLOCK_ROWS = 4096
+#: Tables and probes by the number of hashes that a cell joins.
+PLANS = {1: (12, 5), 2: (20, 50), 3: (40, 1500)}
+#: Distinct vectors in a shard, about, and in one block of a crowded cell at most.
+BLOCK_ROWS = 16384
+#: Pairs that are scored at once.
+PAIRS = 1 << 16
 SEED = 20260101
 
 
+def layout(vectors: int, dimension: int) -> tuple[int, int, int]:
+    """Tables, probes and hashes for so many vectors: about as many cells as vectors, within the plans."""
+    cells = 2 << max(1, (dimension - 1).bit_length())
+    hashes = min(max(1, int(np.log(max(vectors, 2)) / np.log(cells))), max(PLANS))
+    return *PLANS[hashes], hashes
+
+
 class Rotations:
     """Seeded pseudo-rotations for vectors of one length."""
 
-    def __init__(self, dimension: int, tables: int = TABLES, hashes: int = HASHES, seed: int = SEED):
+    def __init__(self, dimension: int, tables: int = PLANS[1][0], hashes: int = 1, seed: int = SEED):
         self.width = 1 << max(1, (dimension - 1).bit_length())
         self.dimension, self.tables, self.hashes = dimension, tables, hashes
         signs = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (tables, hashes, 3, self.width))
@@ -77,96 +91,199 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dimension)
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Vectors of one length, each scaled by a power of two: cosines stay as they are and nothing overflows."""
+    rows = column.to_pylist()
+    x = np.frombuffer(b"".join(rows), kind).astype(np.float64).reshape(len(rows), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and vector (array of double) of the rows that take part."""
-    v = F.col(vector_col).cast("array<double>")
+    """id and vector of the rows that take part."""
     whole = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where("id is not null and vec is not null").where(whole)
+    kind = "array<float>" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "array<double>"
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vec")).where("id is not null and vec is not null").where(whole)
+
+
+def best_pairs(q: np.ndarray, c: np.ndarray, reps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query by exact cosine, of equal ones those with the smallest reps: rows, columns, scores."""
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    norm_q, norm_c = (q * q).sum(axis=1), (c * c).sum(axis=1)
+    unit_q, unit_c = q / np.sqrt(norm_q)[:, None], c / np.sqrt(norm_c)[:, None]
+    step = max(1, (1 << 22) // max(1, len(c)))
+    for at in range(0, len(q), step):
+        near = unit_q[at : at + step] @ unit_c.T
+        if len(c) > k:  # what rounding may have put below the k-th is scored as well
+            row, col = np.nonzero(near >= np.partition(near, len(c) - k, axis=1)[:, len(c) - k, None] - 1e-9)
+        else:
+            row, col = (x.ravel() for x in np.indices(near.shape))
+        row = row + at
+        score = np.empty(len(row))
+        for i in range(0, len(row), PAIRS):
+            r, d = row[i : i + PAIRS], col[i : i + PAIRS]
+            score[i : i + PAIRS] = (q[r] * c[d]).sum(axis=1) / np.sqrt(norm_q[r] * norm_c[d])
+        order = np.lexsort((reps[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < k
+        for x, v in zip(out, (row[keep], col[keep], score[keep]), strict=True):
+            x.append(v)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _by_length(column: pa.Array, kind: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(dimension, places) of the packed vectors of each length."""
+    size = np.array([len(v) for v in column.to_pylist()], np.int64) // np.dtype(kind).itemsize
+    for d in np.unique(size).tolist():
+        yield d, np.flatnonzero(size == d)
+
+
+def _shard(cell: np.ndarray, shards: int) -> np.ndarray:
+    return (hashing.mixed(cell.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], kind: str, plans: dict[int, tuple], probing: bool) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """Slices of the batches that have one length, with that, a table, and for each row its cells and their shards."""
+    made: dict[int, Rotations] = {}
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            for d, places in _by_length(whole.slice(at, 4096).column("vec"), kind):
+                part = whole.slice(at, 4096).take(pa.array(places))
+                tables, probes, hashes, shards = plans[d]
+                turns = made.setdefault(d, Rotations(d, tables, hashes))
+                x = _matrix(part.column("vec"), kind)
+                unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                for table in range(tables):
+                    cell = turns.cells(unit, table, probes if probing else 1).astype(np.int64)
+                    yield part, d, table, cell, _shard(cell, shards)
+
+
+def _same(n: int, value: int) -> pa.Array:
+    return pa.array(np.full(n, value, np.int32))
+
+
+FOUND = "q long, cls long, rep long, score double"
+
+
+def _found(parts: list[tuple[np.ndarray, ...]]) -> pa.Table:
+    cols = [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate((np.int64, np.int64, np.int64, np.float64))]
+    return pa.table(dict(zip(("q", "cls", "rep", "score"), cols, strict=True)))
+
 
+def _candidates(work: Workspace, asked: DataFrame, ids: DataFrame, kind: str, plans: dict[int, tuple], k: int) -> DataFrame:
+    """q, cls, rep, score: the best few that each shard has for a query class."""
 
-def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each query row, by cosine; ties to the smaller id."""
-    spark = vectors.sparkSession
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, d, table, cell, _ in _cells(batches, kind, plans, False):
+            found, n = np.unique(cell[:, 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([_same(len(found), d), _same(len(found), table), pa.array(found), pa.array(n)], ["d", "tab", "cell", "n"])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, d, table, cell, shard in _cells(batches, kind, plans, False):
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("rep"), part.column("vec"), _same(n, d), _same(n, table), pa.array(shard[:, 0]), pa.array(cell[:, 0])], ["cls", "rep", "vec", "d", "tab", "shard", "cell"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, d, table, cell, shard in _cells(batches, kind, plans, True):
+            row = np.repeat(np.arange(len(cell)), cell.shape[1])
+            order = np.lexsort((shard.ravel(), row))
+            row, flat, to = row[order], cell.ravel()[order], shard.ravel()[order]
+            head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)), pa.int32()), pa.array(flat))
+            owner = pa.array(row[head])
+            yield pa.RecordBatch.from_arrays([part.column("q").take(owner), part.column("vec").take(owner), _same(len(head), d), _same(len(head), table), pa.array(to[head]), lists], ["q", "vec", "d", "tab", "shard", "cells"])
+
+    crowd = ids.select("vec").mapInArrow(counted, "d int, tab int, cell long, n long").groupBy("d", "tab", "cell").agg(F.sum("n").alias("n"))
+    crowd = work.written(crowd.where(F.col("n") > BLOCK_ROWS).select("d", "tab", "cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "crowded-cells")
+    cells = ids.select("cls", "rep", "vec").mapInArrow(index, "cls long, rep long, vec binary, d int, tab int, shard int, cell long")
+    cells = cells.join(crowd, ["d", "tab", "cell"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks")
+    classes = asked.groupBy("q").agg(F.first("vec").alias("vec"))
+    probed = classes.mapInArrow(probe, "q long, vec binary, d int, tab int, shard int, cells array<long>")
+    more = probed.withColumn("cell", F.explode("cells")).join(crowd, ["d", "tab", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    spread = probed.withColumn("block", F.lit(0)).unionByName(more.select("q", "vec", "d", "tab", "shard", F.array("cell").alias("cells"), "block"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _found([])
+        q, c = _matrix(left.column("vec"), kind), _matrix(right.column("vec"), kind)
+        qi, ci, cls = left.column("q").to_numpy(), right.column("rep").to_numpy(), right.column("cls").to_numpy()
+        cells = left.column("cells").combine_chunks()
+        asks, cell = np.repeat(np.arange(len(qi)), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        asks, cell = asks[order], cell[order]
+        has = right.column("cell").to_numpy()
+        order = np.argsort(has, kind="stable")
+        has, parts = has[order], []
+        for x in np.intersect1d(cell, has).tolist():
+            of = asks[np.searchsorted(cell, x) : np.searchsorted(cell, x, "right")]
+            to = order[np.searchsorted(has, x) : np.searchsorted(has, x, "right")]
+            row, col, score = best_pairs(q[of], c[to], ci[to], k + 1)
+            parts.append((qi[of[row]], cls[to[col]], ci[to[col]], score))
+        return _found(parts)
+
+    key = ["d", "tab", "shard", "block"]
+    return spread.groupBy(*key).cogroup(cells.groupBy(*key)).applyInArrow(compare, FOUND)
+
+
+def _among_all(asked: DataFrame, ids: DataFrame, kind: str, k: int) -> DataFrame:
+    """q, cls, rep, score: the best few of each block of all vectors."""
+    classes = asked.groupBy("q").agg(F.first("vec").alias("vec"))
+    blocks = ids.groupBy(F.octet_length("vec").alias("d")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    every = classes.withColumn("d", F.octet_length("vec")).join(blocks, "d").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dealt = ids.select("cls", "rep", "vec", F.octet_length("vec").alias("d")).join(blocks, "d").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).drop("blocks")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _found([])
+        ci = right.column("rep").to_numpy()
+        row, col, score = best_pairs(_matrix(left.column("vec"), kind), _matrix(right.column("vec"), kind), ci, k + 1)
+        return _found([(left.column("q").to_numpy()[row], right.column("cls").to_numpy()[col], ci[col], score)])
+
+    return every.groupBy("d", "block").cogroup(dealt.groupBy("d", "block")).applyInArrow(compare, FOUND)
+
+
+def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", plan=layout) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each query row, by cosine; ties to the smaller id.
+
+    `plan` gives tables, probes and hashes for a number of vectors and their length.
+    """
     rows = usable(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension = sizes[0]["d"]
-    rotations = Rotations(dimension, tables, hashes)
+    kind = "<f4" if rows.schema["vec"].dataType.elementType == FloatType() else "<f8"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension) + 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in flat], pa.binary())], ["id", "vec"])
+            lists = batch.column("vec")
+            raw = (lists.flatten().to_numpy(zero_copy_only=False).astype(kind) + np.dtype(kind).type(0)).tobytes()
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], ["id", "vec"])
 
-    rows = rows.where(F.size("vec") == dimension).mapInArrow(packed, "id long, vec binary")
+    work = Workspace(vectors.sparkSession)
+    rows = rows.mapInArrow(packed, "id long, vec binary")
     # a class keeps its k + 1 smallest ids: no answer holds more of it, the query itself left out
-    ids = written(rows.groupBy("vec").agg(F.count("*").alias("n"), F.min("id").alias("rep")), "vector-classes")
+    ids = work.written(rows.groupBy("vec").agg(F.count("*").alias("n"), F.min("id").alias("rep")).withColumn("cls", F.xxhash64("vec")), "vector-classes")
     shared_vec = ids.where("n > 1")
     place = Window.partitionBy("vec").orderBy("id")
-    more = rows.join(shared_vec.select("vec", "rep"), "vec").select("rep", "id", "vec").withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)
-    members = written(ids.where("n = 1").select("rep", F.col("rep").alias("id")).unionByName(more.select("rep", "id")), "vector-members")
-    queries = rows.where(F.col("id") % query_every == 0).join(ids.select("vec", "rep"), "vec").select(F.col("id").alias("query_id"), F.col("rep").alias("q"), "vec")
-    asked = written(queries, "vector-queries")
+    more = rows.join(shared_vec.select("vec", "cls"), "vec").select("cls", "id", "vec").distinct().withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)
+    members = written(ids.where("n = 1").select("cls", F.col("rep").alias("id")).unionByName(more.select("cls", "id")), "vector-members")
+    asked = work.written(rows.where(F.col("id") % query_every == 0).distinct().join(ids.select("vec", "cls"), "vec").select(F.col("id").alias("query_id"), F.col("cls").alias("q"), "vec"), "vector-queries")
+    width = np.dtype(kind).itemsize
+    sizes = ids.groupBy(F.octet_length("vec").alias("bytes")).count().collect()  # one row for each length
+    plans = {r["bytes"] // width: (*plan(r["count"], r["bytes"] // width), -(-r["count"] // BLOCK_ROWS)) for r in sizes}
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _cells(batches, rotations, 1)
+    def ranked(found: DataFrame, queries: DataFrame) -> DataFrame:
+        best = found.groupBy("q", "cls", "rep").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+        best = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+        # the classes' k + 1 smallest ids, the query's own id left out
+        answers = queries.select("query_id", "q").join(best, "q").join(members, "cls").where(F.col("id") != F.col("query_id"))
+        answers = answers.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return answers.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _cells(batches, rotations, probes)
-
-    cells = ids.select("rep", "vec").mapInArrow(index, "rep long, vec binary, tab int, cell long")
-    counts = written(cells.groupBy("tab", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "cell-sizes")
-    blocked = cells.join(F.broadcast(counts) if _small(counts) else counts, ["tab", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
-    probed = asked.groupBy("q").agg(F.first("vec").alias("vec")).withColumnRenamed("q", "rep").mapInArrow(probe, "rep long, vec binary, tab int, cell long")
-    spread = probed.join(F.broadcast(counts) if _small(counts) else counts, ["tab", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            q, c = _matrix(left.column("vec"), dimension), _matrix(right.column("vec"), dimension)
-            qi, ci = left.column("rep").to_numpy(), right.column("rep").to_numpy()
-            unit_q = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
-            unit_c = c / np.sqrt((c * c).sum(axis=1, keepdims=True))
-            take = min(len(ci), k + 3)
-            for at in range(0, len(qi), 512):
-                near = unit_q[at : at + 512] @ unit_c.T
-                top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                row = np.repeat(np.arange(len(top)), take) + at
-                col = top.ravel()
-                a, b = q[row], c[col]
-                score = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-                for x, y in zip(out, (qi[row], ci[col], score), strict=True):
-                    x.append(y)
-        cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table(dict(zip(("q", "rep", "score"), cols, strict=True)))
-
-    found = spread.groupBy("tab", "cell", "block").cogroup(blocked.groupBy("tab", "cell", "block")).applyInArrow(compare, "q long, rep long, score double")
-    best = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    best = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
-    # the classes' k + 1 smallest ids, the query's own id left out
-    answers = asked.select("query_id", "q").join(best, "q").join(members, "rep").where(F.col("id") != F.col("query_id"))
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return answers.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
-
-
-def _small(counts: DataFrame, most: int = 200_000) -> bool:
-    return counts.limit(most + 1).count() <= most
-
-
-def _cells(batches: Iterator[pa.RecordBatch], rotations: Rotations, probes: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            batch = whole.slice(at, 4096)
-            x = _matrix(batch.column("vec"), rotations.dimension)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            for table in range(rotations.tables):
-                cell = rotations.cells(unit, table, probes)
-                row = pa.array(np.repeat(np.arange(len(unit)), cell.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(row), batch.column("vec").take(row), pa.array(np.full(cell.size, table, np.int32)), pa.array(cell.ravel().astype(np.int64))], ["rep", "vec", "tab", "cell"])
+    near = written(ranked(_candidates(work, asked, ids, kind, plans, k), asked), "neighbours")
+    got = near.groupBy("query_id").agg(F.count("*").alias("got"))
+    short = work.written(asked.join(got.where(F.col("got") >= k), "query_id", "left_anti"), "short-queries")
+    if not short.isEmpty():
+        whole = written(ranked(_among_all(short, ids, kind, k), short), "neighbours")
+        near = near.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(whole)
+    return near

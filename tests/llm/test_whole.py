@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from docloom.llm import html_extract, langid
+from docloom.llm import ann, html_extract, langid
 
 
 def made_languages(rng):
@@ -53,3 +53,50 @@ def test_whole_article_is_taken(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r.text == "\n".join(" ".join(x.split()) for x in LAYOUTS[r.url[7:-1]][1]), r.url
+
+
+def exact(rows, k, every):
+    """Neighbours by brute force, each vector among those of its length."""
+    rows = [(i, np.array(v, float)) for i, v in rows]
+    out = {}
+    for i, q in rows:
+        if i % every == 0:
+            near = sorted((-float((q * v).sum() / np.sqrt((q * q).sum() * (v * v).sum())), j) for j, v in rows if j != i and len(v) == len(q))
+            out[i] = [j for _, j in near[:k]]
+    return out
+
+
+def found(spark, rows, **options):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {}
+    for r in sorted(ann.nearest(table, **options).collect(), key=lambda r: r["rank"]):
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+def test_ties_of_collinear_vectors_go_to_smaller_ids(spark):
+    base = np.random.default_rng(1).normal(size=16)
+    rows = [(i, (base * 2.0 ** (i % 37 - 18)).tolist()) for i in range(400)]
+    assert found(spark, rows) == exact(rows, 5, 50)
+
+
+def test_lengths_few_rows_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(12)] + [(50, [1e300] * 3), (51, [1e300, 1e300, 0.0]), (100, [1.0])]
+    want = {q: js for q, js in exact(rows, 5, 50).items() if js}
+    got = found(spark, rows, query_every=50)
+    assert got == want and got[50] == [51]
+    rows = [(0, [1.0, 0.0]), (7, [1.0, 0.1]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), (9, [1.0, 1.0]), (0, [1.0, 0.0])]
+    assert found(spark, rows) == {0: [7, 9]}
+
+
+@pytest.mark.parametrize("hashes", [1, 2])
+def test_recall_at_each_number_of_hashes(spark, hashes):
+    rng = np.random.default_rng(hashes)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(1500, 16)).tolist())]
+    got, want = found(spark, rows, plan=lambda n, d: (*ann.PLANS[hashes], hashes)), exact(rows, 5, 50)
+    assert got.keys() == want.keys() and sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_cells_grow_with_the_vectors():
+    assert [ann.layout(n, 64)[2] for n in (500, 16000, 17000, 2 * 10**6, 3 * 10**6, 10**12)] == [1, 1, 2, 2, 3, 3]
