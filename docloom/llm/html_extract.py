@@ -4,6 +4,9 @@ Each page's containers are scored by the text they hold, and the page votes for
 best one. Spark sums the votes of a host; the path with most votes is the host's. A second pass takes the text below
 that path, or below the page's own best container where the page has no such path.
 
+An article's own header is part of it; its footer, which holds tags and links for sharing, is not. Elements may be nested
+as deep as they like, and end tags that close nothing cost nothing: work grows with the length of a page.
+
 A null or empty page has an empty text; a page without markup is one container. Pages with no host vote together. Rows
 that repeat a page stay separate rows. Other columns of the input are not read.
 """
@@ -12,7 +15,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +25,6 @@ from pyspark.sql import functions as F
 from docloom.llm import workers
 from docloom.llm.shared import written
 
-#: Winners that a broadcast carries; with more hosts the pages are shuffled to them.
-BROADCAST_HOSTS = 20_000
 #: Share of a container's score that counts for the container around it.
 OUTER_SHARE = 0.5
 
@@ -34,6 +36,8 @@ DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 CLOSES_PARAGRAPH = BLOCKS - {"caption", "option", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "head", "html", "title", "summary", "legend", "figcaption"}
+#: Elements within which a new block does not end a paragraph around them.
+KEEPS_PARAGRAPH = CONTAINERS | {"table", "blockquote", "li", "form"}
 #: Elements that an opening tag of the same kind ends, up to the element that limits the search.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -46,23 +50,63 @@ SIBLINGS = {
 }
 #: Words of class, id and role attributes that mark what is not the article.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|alert|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|consent|cookies?|disqus|disclaimer|dialog|footer|form|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|pager|paywall|popup|promo\w*|recommend\w*|related|replies|reply|search|share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|tags|toolbar|toc|warning|widget)(?=$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|alert|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|consent|cookies?|disqus|disclaimer|dialog|footer|form|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|pager|paywall|popup|promo\w*|recommend\w*|related(?=$|\s|[_-](?:articles?|box|content|entries|items?|links?|list|news|pages?|posts?|reading|section|stories|topics?|videos?|widget)(?=$|[\s_-]))|replies|reply|search|share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|tags|toolbar|toc|warning|widget)(?=$|[\s_-])"
 )
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
     """An open element that matters: a container, or one whose text is dropped."""
 
-    __slots__ = ("dropped", "parent", "path", "score", "tag")
+    __slots__ = ("dropped", "label", "parent", "score", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, path: str, dropped: bool):
-        self.tag, self.parent, self.path, self.dropped = tag, parent, path, dropped
+    def __init__(self, tag: str, parent: Node | None, label: str, dropped: bool):
+        self.tag, self.parent, self.label, self.dropped = tag, parent, label, dropped
         self.score = 0.0
 
+    @property
+    def path(self) -> str:
+        labels, node = [], self
+        while node is not None:
+            labels.append(node.label)
+            node = node.parent
+        return "/".join(reversed(labels))
+
+
+class Stack:
+    """Open elements with the places of each tag, so that looking for one takes no walk."""
+
+    def __init__(self, root: Node):
+        self.tags, self.nodes = [""], [root]
+        self.where: dict[str, list[int]] = {"": [0]}
+
+    def push(self, tag: str, node: Node) -> None:
+        self.where.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element with one of the tags; 0 if none is open."""
+        return max((at[-1] for t in tags if (at := self.where.get(t))), default=0)
+
+    def first_after(self, tags: Iterable[str], place: int) -> int:
+        """The outermost one behind `place`; 0 if there is none."""
+        found = [at[k] for t in tags if (at := self.where.get(t)) and (k := bisect_right(at, place)) < len(at)]
+        return min(found, default=0)
+
+    def cut(self, to: int) -> bool:
+        """Close all from `to` on; whether a block ended."""
+        block = self.nodes[-1] is not self.nodes[to - 1]
+        for tag in self.tags[to:]:
+            self.where[tag].pop()
+            block = block or tag in BLOCKS
+        del self.tags[to:], self.nodes[to:]
+        return block
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in _ATTRIBUTE.finditer(raw)}
@@ -73,7 +117,9 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
+def _is_boilerplate(tag: str, attributes: dict[str, str], parent: Node) -> bool:
+    if tag == "header" and parent.tag in ("article", "main", "section"):
+        return False  # the title of an article, not the head of the page
     if tag in DROPPED or "hidden" in attributes:
         return True
     if tag in ("html", "body", "article", "main"):
@@ -85,8 +131,7 @@ def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
 def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """Blocks of visible text with their container, and the containers of a page, both in page order."""
     root = Node("", None, "", False)
-    nodes, blocks = [root], []
-    stack: list[tuple[str, Node]] = [("", root)]
+    nodes, blocks, stack = [root], [], Stack(root)
     text: list[str] = []
     state = {"linked": 0}
 
@@ -101,17 +146,17 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
 
     def say(raw: str) -> None:
         if raw:
-            node = stack[-1][1]
+            node = stack.nodes[-1]
             if not node.dropped:
                 raw = entities.unescape(raw) if "&" in raw else raw
                 text.append(raw)
-                if any(tag == "a" for tag, _ in stack[-3:]):
+                if "a" in stack.tags[-3:]:
                     state["linked"] += len(raw.strip())
 
     def pop(to: int) -> None:
-        if any(tag in BLOCKS or tag == "" for tag, _ in stack[to:]) or stack[-1][1] is not stack[to - 1][1]:
-            flush(stack[-1][1])
-        del stack[to:]
+        node = stack.nodes[-1]
+        if stack.cut(to):
+            flush(node)
 
     at, end = 0, len(page)
     while at < end:
@@ -127,51 +172,37 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if k := stack.last((tag,)):
+                pop(k)
             continue
-        node = stack[-1][1]
         if tag == "br":
             text.append(" ")
             continue
         if tag in BLOCKS:
-            flush(node)
-            if tag in CLOSES_PARAGRAPH:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] in CONTAINERS or stack[k][0] in ("table", "blockquote", "li", "form"):
-                        break
+            flush(stack.nodes[-1])
+            if tag in CLOSES_PARAGRAPH and (k := stack.last("p")) > stack.last(KEEPS_PARAGRAPH):
+                pop(k)
         if tag in SIBLINGS:
             ended, limits = SIBLINGS[tag]
-            cut = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in limits:
-                    break
-                if stack[k][0] in ended:
-                    cut = k
-            if cut:
+            if cut := stack.first_after(ended, stack.last(limits)):
                 pop(cut)
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        node = stack[-1][1]
+        node = stack.nodes[-1]
         raw = m[3]
         attributes = _attributes(raw) if "=" in raw else ({"hidden": ""} if "hidden" in raw.lower().split() else {})
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            close = _CLOSE[tag].search(page, at)
             at = close.end() if close else end
             continue
-        dropped = node.dropped or _is_boilerplate(tag, attributes)
+        dropped = node.dropped or _is_boilerplate(tag, attributes, node)
         if tag in CONTAINERS or dropped != node.dropped:
             flush(node)
-            node = Node(tag, node, f"{node.path}/{_label(tag, attributes)}", dropped)
+            node = Node(tag, node, _label(tag, attributes), dropped)
             if not dropped:
                 nodes.append(node)
-        stack.append((tag, node))
-    flush(stack[-1][1])
+        stack.push(tag, node)
+    flush(stack.nodes[-1])
     return blocks, nodes
 
 
@@ -203,22 +234,29 @@ def best_container(nodes: list[Node]) -> Node:
 def extract(page: str, path: str | None) -> str:
     """The blocks below `path`, or below the page's best container if the page has no text there, one to a line."""
     blocks, nodes = parse(page)
-    chosen = {id(n) for n in nodes if n.path == path}
-    inside = _within(blocks, chosen) if chosen else []
+    inside = _within(blocks, nodes, _at_path(nodes, path)) if path is not None else []
     if not inside:
-        inside = _within(blocks, {id(best_container(nodes))})
+        inside = _within(blocks, nodes, {id(best_container(nodes))})
     return "\n".join(inside)
 
 
-def _within(blocks: list[tuple[Node, str]], chosen: set[int]) -> list[str]:
-    verdict: dict[int, bool] = {}
+def _at_path(nodes: list[Node], path: str) -> set[int]:
+    """The nodes at `path`, found by the length of the path that each node and those around it match."""
+    matched: dict[int, int] = {}
+    for n in nodes:  # a node comes after the one around it
+        before = 0 if n.parent is None else matched.get(id(n.parent), -1)
+        own = n.label if n.parent is None else "/" + n.label
+        if before >= 0 and path.startswith(own, before):
+            matched[id(n)] = before + len(own)
+    return {i for i, length in matched.items() if length == len(path)}
 
-    def below(node: Node) -> bool:
-        if id(node) not in verdict:
-            verdict[id(node)] = id(node) in chosen or (node.parent is not None and below(node.parent))
-        return verdict[id(node)]
 
-    return [text for node, text in blocks if below(node)]
+def _within(blocks: list[tuple[Node, str]], nodes: list[Node], chosen: set[int]) -> list[str]:
+    inside: set[int] = set()
+    for n in nodes:
+        if id(n) in chosen or (n.parent is not None and id(n.parent) in inside):
+            inside.add(id(n))
+    return [text for node, text in blocks if id(node) in inside]
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -245,8 +283,7 @@ def host_of(url: str):
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     winners = written(host_paths(pages), "host-paths")
-    hosts = winners.limit(BROADCAST_HOSTS + 1).count()
-    chosen = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(F.broadcast(winners) if hosts <= BROADCAST_HOSTS else winners, "host", "left")
+    chosen = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(winners, "host", "left")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """Cases in which an operator would once have done less than the whole job."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -100,3 +101,41 @@ def test_recall_at_each_number_of_hashes(spark, hashes):
 
 def test_cells_grow_with_the_vectors():
     assert [ann.layout(n, 64)[2] for n in (500, 16000, 17000, 2 * 10**6, 3 * 10**6, 10**12)] == [1, 1, 2, 2, 3, 3]
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    began = time.process_time()
+    deep = "<body><p>start</p>" + "<div class=x>" * 100_000 + "<p>end</p>"
+    assert html_extract.extract(deep, None) == "start" or html_extract.extract(deep, None).endswith("end")
+    assert html_extract.extract(deep, "/body/div.x").endswith("end")
+    stray = "<body><article>" + "<p><span>a</i></b>" * 30_000 + "</em>" * 100_000 + "<li><h2>x</h2>" * 20_000 + "</article>"
+    assert html_extract.extract(stray, None).startswith("a\na")
+    assert time.process_time() - began < 60
+
+
+PARTS = {
+    "header": ("<article><header><h1>Title</h1></header><p>Text of it</p><footer>Tags</footer></article>", "Title\nText of it"),
+    "page": ("<header><h1>Site</h1></header><main><p>Text of it</p></main>", "Text of it"),
+    "class": ('<article><p>Text of it</p><div class="related-work"><p>Others did</p></div><div class="related-posts"><p>See also</p></div></article>', "Text of it\nOthers did"),
+    "table": ("<article><table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul></article>", "a\nb\nc\nd\ne"),
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_parts_of_an_article(name):
+    page, want = PARTS[name]
+    assert html_extract.extract("<body>" + page + "</body>", None) == want
+
+
+def test_votes_and_paths_follow_the_pages(spark):
+    """Winning paths against a count by hand over the given pages; ties go to the first path in order."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    votes = {}
+    for r in pages.collect():
+        blocks, nodes = html_extract.parse(r.html or "")
+        if blocks:
+            host = (r.url or "").split("//")[-1].split("/")[0].split(":")[0].lower()
+            path = html_extract.best_container(nodes).path
+            votes.setdefault(host, []).append(path)
+    want = {h: min(set(v), key=lambda p: (-v.count(p), p)) for h, v in votes.items()}
+    assert {r.host: r.path for r in html_extract.host_paths(pages).collect()} == want
