@@ -27,6 +27,8 @@ from docloom.llm.tokenize import SLICE_BYTES, encoder
 
 SEQUENCE = 2048
 UNIT = 8
+#: Rounds of column generation without gain after which it ends.
+STALL = 2000
 
 
 def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -50,26 +52,42 @@ def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(value[capacity]), counts
 
 
-def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 5000, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(demand: np.ndarray, capacity: int, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """The cutting-stock linear program by column generation: patterns (rows) and how often each is used.
 
-    Class k weighs k + 1 units. Stops when no pattern prices over 1 + gap, so the value is within that of the optimum.
+    Class k weighs k + 1 units. Any prices, scaled so that no pattern is worth more than one, bound the optimum from
+    below. Columns are priced between the best such prices and the program's duals, which saves rounds, and by the duals
+    alone where that finds none. It runs until the value is within `gap` of the bound, or half a sequence, however many
+    rounds that takes; `STALL` rounds without gain mean that rounding allows no better.
     """
     rows = np.flatnonzero(demand)
     if not len(rows):
         return np.zeros((0, len(demand)), np.int64), np.zeros(0)
-    need = demand[rows].astype(float)
+    need = demand[rows] * (1 + 1e-7 * np.arange(1, len(rows) + 1))  # bases hardly tie, so steps are of some length
     patterns = np.zeros((len(rows), len(demand)), np.int64)
     patterns[np.arange(len(rows)), rows] = capacity // (rows + 1)
     inverse = np.diag(1.0 / patterns[np.arange(len(rows)), rows])
     amount = inverse @ need
-    for _ in range(rounds):
-        duals = inverse.sum(axis=0)
+    safe = (rows + 1) / capacity
+    bound, done = float(need @ safe), 0
+
+    def priced(duals: np.ndarray) -> np.ndarray:
+        nonlocal safe, bound
         prices = np.zeros(len(demand))
         prices[rows] = np.maximum(duals, 0)
         value, column = best_pattern(prices, capacity)
-        if value <= 1 + gap:
-            break
+        if value > 0 and need @ prices[rows] / value > bound:
+            bound, safe = float(need @ prices[rows] / value), prices[rows] / value
+        return column
+
+    least, gained = np.inf, 0
+    while (now := amount.sum()) > bound + max(0.5, gap * bound) and done - gained < STALL:
+        if now < least * (1 - 1e-12):
+            least, gained = now, done
+        duals = inverse.sum(axis=0)
+        column = priced((safe + duals) / 2)
+        if column[rows] @ duals <= 1 + 1e-9 and (column := priced(duals))[rows] @ duals <= 1 + 1e-9:
+            break  # no pattern is worth more than it costs
         step = inverse @ column[rows]
         positive = step > 1e-12
         ratios = np.where(positive, amount / np.where(positive, step, 1), np.inf)
@@ -81,6 +99,10 @@ def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 5000, gap: f
         inverse -= np.outer(step, pivot)
         inverse[leave] = pivot
         patterns[leave] = column
+        done += 1
+        if done % 500 == 0:  # what rounding has left goes
+            inverse = np.linalg.inv(patterns[:, rows].T.astype(float))
+            amount = inverse @ need
     return patterns, np.maximum(amount, 0)
 
 
