@@ -5,8 +5,9 @@ greedily into longest matches takes few phrases in its own language and many in
 of the model's length, over the text's length, estimates the cross entropy, and the language with the least wins.
 Texts are folded to lower-case letters and single blanks and parsed whole, in segments side by side.
 
-The automata are fitted on a bounded sample of labelled rows: `TRAIN_ROWS` for each language, of each at most
-`TRAIN_CHARS_PER_ROW` characters, `TRAIN_CHARS` together. A text that is null, or has no letter, or meets no
+The automata are fitted on a bounded sample of labelled rows: `TRAIN_ROWS` for each language. Of a row with more than
+`TRAIN_CHARS_PER_ROW` characters, `PASSAGES` passages at hashed places, spread over the whole of it, are taken. Two
+languages that need equally many bits are told apart by name, the first in order wins. A text that is null, or has no letter, or meets no
 learned language is `und` with score 0. Rows that repeat a document are judged alike. Only the id, the text and, in
 training, the label are read.
 """
@@ -27,10 +28,10 @@ from docloom.llm.batches import slices
 from docloom.llm.shared import id_hash
 
 TRAIN_ROWS = 60
-TRAIN_CHARS_PER_ROW = 3000
-TRAIN_CHARS = 60_000
-#: Folded characters in one segment.
-SEGMENT = 256
+TRAIN_CHARS_PER_ROW = 1000
+PASSAGES = 4
+#: Folded characters in one segment; a phrase ends where a segment does, so a parse has at most one phrase too many for each.
+SEGMENT = 1024
 SLICE_BYTES = 1 << 20
 #: Cells of an automaton's dense table; one with more states times letters is kept as sorted transitions.
 DENSE_CELLS = 1 << 24
@@ -151,17 +152,8 @@ class Automaton:
 class Identifier:
     """The automata of all languages, each over the letters of its own training text; any other matches nothing in it."""
 
-    def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS, dense_cells: int = DENSE_CELLS):
-        texts = {}
-        for lang, rows in sorted(samples.items()):
-            parts, left = [], train_chars
-            for row in rows:
-                part = folded(row)[:left]
-                left -= len(part)
-                if len(part):
-                    parts.append(part)
-            if parts:
-                texts[lang] = parts
+    def __init__(self, samples: dict[str, list[str]], dense_cells: int = DENSE_CELLS):
+        texts = {lang: parts for lang, rows in sorted(samples.items()) if (parts := [p for p in map(folded, rows) if len(p)])}
         self.langs = list(texts)
         points = np.unique(np.concatenate([p for ps in texts.values() for p in ps])) if texts else np.zeros(0, np.int64)
         self.codes = np.zeros(0x110000, np.min_scalar_type(len(points)))
@@ -205,13 +197,17 @@ class Identifier:
 
 
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS_PER_ROW, folds: int = 5, held_out: int = 0) -> dict[str, list[str]]:
-    """Labelled texts outside the held-out fold: of each language the first `rows` in the order of hashed ids."""
+    """Passages of labelled texts outside the held-out fold: of each language the first `rows` in the order of hashed ids."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_hash("doc_id", folds) != held_out))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    picked = labelled.select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    # a long text is cut into as many parts as passages; each passage lies somewhere in its part
+    size, part = chars // PASSAGES, F.floor(F.length("text") / PASSAGES).cast("int")
+    places = [F.col("text").substr(k * part + F.pmod(F.xxhash64("doc_id", F.lit(k)), part - size + 1).cast("int") + 1, F.lit(size)) for k in range(PASSAGES)]
+    passages = F.when(F.length("text") <= chars, F.array("text")).otherwise(F.array(*places))
+    picked = labelled.select("lang", "doc_id", "text").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).select("lang", "r", passages.alias("passages"))
     samples: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["r"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
+        samples.setdefault(r["lang"], []).extend(r["passages"])
     return samples
 
 
