@@ -21,8 +21,8 @@ from docloom.llm.shared import written
 WINDOW = 13
 #: Rarest words of a phrase whose postings must meet.
 ANCHORS = 3
-#: Rows of a term or phrase table that are broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of a written term or phrase table that is broadcast; beyond that Spark merges, and splits hot terms.
+BROADCAST_BYTES = 32 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,7 +34,9 @@ def words_of(text: Column) -> Column:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """`df` with a broadcast hint if Spark's own estimate, for written tables the size of their files, allows it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def phrases_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
