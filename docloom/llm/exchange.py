@@ -25,16 +25,12 @@ QUESTION = "chunk int, bucket int, payload binary"
 ANSWER = "chunk int, payload binary"
 
 
-#: Bytes of text from which on chunks grow, with the root of the text, and the most they grow by.
-GROW_FROM, GROW_MOST = 1 << 30, 8
-
-
-def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, grow: bool = False) -> int:
-    """How many chunks the texts make. There are as many buckets, so packed rows grow with the square of this number;
-    where a chunk's task holds little of it at a time, chunks `grow` to keep the rows long."""
+def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
+    """How many chunks the texts make, by one rule at every size. There are as many buckets. A chunk sends a row to those
+    buckets only that it has keys for: rows grow with the square of the chunks as long as they hold many keys each, and
+    never beyond one for each distinct key of a chunk."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    more = min(GROW_MOST, max(1.0, (total / GROW_FROM) ** 0.5)) if grow else 1
-    return max(1, int(-(-total // (chunk_bytes * more))))
+    return max(1, -(-total // chunk_bytes))
 
 
 def chunked(docs: DataFrame, chunks: int, rest: list[str] | None = None) -> DataFrame:

@@ -32,8 +32,9 @@ GRAM = 24
 SLICE_BYTES = 1 << 18
 #: Strings whose suffixes are sorted at once.
 SORT_STRINGS = 250_000
-#: Chunks that share an anchor from which on its contexts are sent string by string.
-CROWD = 4096
+#: Chunks that share an anchor from which on its contexts are sent string by string: what a bucket gets of one anchor is
+#: bounded by so many chunks' contexts.
+CROWD = 512
 FIRST = np.iinfo(np.int64).min
 
 
@@ -253,7 +254,7 @@ def removal(parts: list[Runs], sent: list[bytes]) -> list[np.ndarray]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, chunk_bytes: int = exchange.CHUNK_BYTES, crowd: int = CROWD, shallow: int = 24) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with `keep_text` also what is left, as bytes."""
-    n = exchange.chunk_count(docs, chunk_bytes, grow=True)
+    n = exchange.chunk_count(docs, chunk_bytes)
     chunks = exchange.chunked(docs, n)
     seeds = exchange.repeated(exchange.ask(chunks, _anchors(length, gram, n)), crowd)
     contexts = exchange.with_answers(chunks, seeds, _contexts(length, gram, n), exchange.QUESTION)
