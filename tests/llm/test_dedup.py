@@ -166,3 +166,15 @@ def test_windows_choose_their_anchor_by_content():
     again = hashing.anchors(np.concatenate([grams[100:], grams[:100]]), 28)
     assert (place[100:] - 100 == again[: len(place) - 100]).all()
     assert all(k <= p < k + 28 for k, p in enumerate(place.tolist()))
+
+
+def test_a_shared_id_is_one_document(spark):
+    """Whatever links with any text of an id links with all of them, and one row of a group stays."""
+    x, y = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(4, x), (4, y), (9, x + " more"), (2, y + " more"), (2, y), (5, ""), (5, x), (7, "alone"), (7, "alone"), (None, x), (None, x)]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, rep long, keys string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(4, 2, False), (9, 2, False), (2, 2, True), (5, 2, False), (7, 7, True), (None, None, True)}
+    kept = near_dedup.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(2, y), (7, "alone"), (None, x), (None, x)])

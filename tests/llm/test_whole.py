@@ -1,12 +1,14 @@
 """Cases in which an operator would once have done less than the whole job."""
 
+import math
 import random
 import time
 
 import numpy as np
 import pytest
 
-from docloom.llm import ann, html_extract, langid
+from docloom.llm import ann, html_extract, langid, packing
+from tests.llm.test_models import greedy
 
 
 def made_languages(rng):
@@ -139,3 +141,48 @@ def test_votes_and_paths_follow_the_pages(spark):
             votes.setdefault(host, []).append(path)
     want = {h: min(set(v), key=lambda p: (-v.count(p), p)) for h, v in votes.items()}
     assert {r.host: r.path for r in html_extract.host_paths(pages).collect()} == want
+
+
+def cross_parsed(text, samples):
+    """The language by brute force: greedy phrases over each sample, by bits."""
+    folded = " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split())
+    bits = {lang: greedy(folded, rows) * math.log2(sum(map(len, rows))) for lang, rows in samples.items()}
+    return min(sorted(bits), key=bits.get)
+
+
+def test_predictions_follow_the_parse():
+    rng = random.Random(11)
+    made = {"aa": "ba ni ko lu ma".split(), "bb": "ba ni str keit ung".split(), "cc": "lu ma ko ung".split()}
+    line = lambda lang: " ".join("".join(rng.choice(made[lang]) for _ in range(2)) for _ in range(12))
+    samples = {lang: [line(lang) for _ in range(6)] for lang in made}
+    texts = [line(rng.choice(list(made))) for _ in range(40)] + ["Ba-ni, KO! 7 lu", "x", "ung"]
+    assert langid.Identifier(samples).predict(texts)[0] == [cross_parsed(t, samples) for t in texts]
+
+
+def test_equal_languages_go_by_name_and_long_texts_count_whole():
+    model = langid.Identifier({"b": ["same words here"], "a": ["same words here"], "c": ["quite other stuff"]})
+    assert model.predict(["same words", "quite other " * 50_000 + "same"])[0] == ["a", "c"]
+
+
+def test_passages_lie_all_over_a_long_row(spark):
+    text = "".join(chr(0x4E00 + k) for k in range(8000))
+    docs = spark.createDataFrame([(1, text, "zz"), (1, text, "zz"), (2, "short one", "zz")], "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs)["zz"]
+    long = [p for p in sample if p != "short one"]
+    assert [len(p) for p in sample].count(250) == 8 and all(p in text for p in long)
+    assert {text.index(p) // 2000 for p in long} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("demand", ["dense", "long", "one"])
+def test_patterns_reach_the_optimum(demand):
+    rng = np.random.default_rng(3)
+    counts = {"dense": rng.integers(0, 4000, 64), "long": np.append(np.zeros(40, int), rng.integers(0, 90, 24)), "one": np.eye(64, dtype=int)[30] * 7}[demand]
+    patterns, amount = packing.solve_patterns(counts, 64)
+    assert (patterns @ np.arange(1, 65) <= 64).all() and np.allclose(amount @ patterns, counts, rtol=1e-4)
+    rows = np.flatnonzero(counts)
+    duals = np.linalg.solve(patterns[:, rows].astype(float), np.ones(len(rows)))
+    prices = np.zeros(64)
+    prices[rows] = np.maximum(duals, 0)
+    value, _ = packing.best_pattern(prices, 64)  # prices that no pattern exceeds bound the linear program
+    least = max(counts @ prices / max(value, 1e-9), (counts * np.arange(1, 65)).sum() / 64)
+    assert amount.sum() <= least * (1 + 1e-3) + 0.5
