@@ -82,13 +82,13 @@ def escalated(flags: DataFrame) -> DataFrame:
     return flags.unionByName(more)
 
 
-def _rank(column: str, ranks: dict[str, int]) -> Column:
+def rank_of(column: str, ranks: dict[str, int]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair)), F.col(column))
 
 
 def worst(docs: DataFrame, found: DataFrame, column: str, ranks: dict[str, int], default: str | None) -> DataFrame:
     """doc_id and the worst of its findings; `default` for a document without any."""
-    top = found.groupBy("doc_id").agg(F.max_by(column, _rank(column, ranks)).alias(column))
+    top = found.groupBy("doc_id").agg(F.max_by(column, rank_of(column, ranks)).alias(column))
     return docs.select("doc_id").join(top, "doc_id", "left").withColumn(column, F.coalesce(F.col(column), F.lit(default)))
 
 
@@ -148,7 +148,7 @@ def route(docs: DataFrame) -> DataFrame:
 
 def explained(found: DataFrame) -> DataFrame:
     """The first three messages of a document's worst verdict: doc_id, messages; found has verdict, message, pos."""
-    ranked = found.withColumn("rank", _rank("verdict", VERDICT))
+    ranked = found.withColumn("rank", rank_of("verdict", VERDICT))
     top = ranked.withColumn("top", F.max("rank").over(Window.partitionBy("doc_id"))).where("rank = top")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "message")))
     return top.groupBy("doc_id").agg(F.transform(F.slice(ordered, 1, 3), lambda x: x["message"]).alias("messages"))

@@ -95,3 +95,37 @@ def first_of_label(rows: DataFrame, key: str, label: str, order: str) -> DataFra
     """The first row of each label within a key."""
     w = Window.partitionBy(key, label).orderBy(order)
     return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def receipt_date(text: Column) -> Column:
+    """A date anywhere in a receipt's line as ISO text: year first, with a month's name, or in figures.
+
+    Of figures one over twelve is the day; otherwise the day comes first. Years of two digits from 70 on are of the last
+    century. A date that the calendar lacks is null.
+    """
+
+    def built(pattern: str, year: int, month: int, day: int) -> Column:
+        y, m, d = (F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in (year, month, day))
+        whole = F.when(F.length(y) <= 2, F.when(y.try_cast("int") < 70, 2000).otherwise(1900) + y.try_cast("int")).otherwise(y.try_cast("int"))
+        named = F.element_at(F.create_map(*(F.lit(x) for k, n in enumerate(MONTH_STEMS, 1) for x in (n, k))), F.lower(F.substring(m, 1, 3)))
+        number = F.coalesce(m.try_cast("int"), named)
+        first_day = d.try_cast("int")
+        swap = (number > 12) & (first_day <= 12)
+        made = F.format_string("%04d-%02d-%02d", whole, F.when(swap, first_day).otherwise(number), F.when(swap, number).otherwise(first_day))
+        return F.date_format(F.try_to_date(F.when(y.isNotNull(), made), "yyyy-MM-dd"), "yyyy-MM-dd")
+
+    stem = "(" + "|".join(MONTH_STEMS) + r")[a-z]*"
+    return F.coalesce(
+        built(r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", 1, 2, 3),
+        built(rf"(?i)(\d{{1,2}})[ \-/]*{stem}[ \-/,.]*(\d{{4}}|\d{{2}})", 3, 2, 1),
+        built(rf"(?i){stem}[ .]*(\d{{1,2}})[ ,]+(\d{{4}}|\d{{2}})", 3, 1, 2),
+        built(r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})", 3, 2, 1),
+    )
+
+
+def receipt_total(text: Column) -> Column:
+    """The digits and the dot of a receipt's total; signs and commas are lost, as on the receipts themselves."""
+    return F.nullif(F.regexp_replace(text, r"[^0-9.]", ""), F.lit("")).try_cast("double")
+
+
+MONTH_STEMS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

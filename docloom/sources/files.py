@@ -12,18 +12,21 @@ SPLIT_ORDER = {"test": 0, "val": 1, "train": 2}
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Canonical documents from JSON lines. Blank lines are skipped; of documents with one id the last line counts.
+    A line that is no document with an id is an error.
 
     A line's place is its file and offset, so the outcome does not depend on how the files are split.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")).where(F.trim("value") != "")
-    docs = lines.select("file", "block", "pos", F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"))
+    docs = lines.select("file", "block", "pos", F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"), "value")
+    unread = F.raise_error(F.concat(F.lit("not a document with an id: "), F.substring("value", 1, 80)))
+    docs = docs.withColumn("d", F.when(F.col("d.doc_id").isNotNull(), F.col("d")).otherwise(unread))
     last = Window.partitionBy("d.doc_id").orderBy(F.desc("file"), F.desc("block"), F.desc("pos"))
     return docs.withColumn("r", F.row_number().over(last)).where("r = 1").select("d.*")
 
 
 def read_manifest(spark: SparkSession, path: str, profile: str | None = None) -> DataFrame:
-    """Manifest rows, of one profile if given; an empty outcome is an error that names the profiles there are."""
-    rows = spark.read.schema(MANIFEST).json(path)
+    """Manifest rows with their place `pos`, of one profile if given; an empty outcome is an error that names the profiles there are."""
+    rows = spark.read.schema(MANIFEST).json(path).withColumn("pos", F.monotonically_increasing_id())
     if profile is None:
         return rows
     chosen = rows.where(F.col("profile") == profile)

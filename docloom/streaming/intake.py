@@ -18,21 +18,22 @@ def process_folder(spark: SparkSession, source: str, schema: str, store: str, ch
     """Read JSON documents as they arrive; `judge(batch, accepted before it)` adds status. All results go to `store`."""
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        before = accepted(spark, store)
+        before = accepted(spark, store, batch_id)  # a batch that runs again must not see its own rows
         judge(batch, before).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def accepted(spark: SparkSession, store: str) -> DataFrame | None:
-    """What has been accepted so far; after a restart this is read from the store again."""
+def accepted(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
+    """What has been accepted so far, or before a batch; after a restart this is read from the store again."""
     try:
         rows = spark.read.parquet(store)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
-    return rows.where(F.col("status") == "accepted")
+    rows = rows.where(F.col("status") == "accepted")
+    return rows if before is None else rows.where(F.col("batch") < before)
 
 
 def amounts_before(before: DataFrame | None) -> DataFrame | None:
