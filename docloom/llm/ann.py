@@ -31,16 +31,16 @@ from docloom.llm.shared import Workspace, written
 #: Tables and probes by the number of hashes that a cell joins.
 PLANS = {1: (12, 5), 2: (20, 50), 3: (40, 1500)}
 #: Distinct vectors in a shard, about, and in one block of a crowded cell at most.
-BLOCK_ROWS = 16384
+BLOCK_ROWS = 1 << 16
 #: Pairs that are scored at once.
 PAIRS = 1 << 16
 SEED = 20260101
 
 
 def layout(vectors: int, dimension: int) -> tuple[int, int, int]:
-    """Tables, probes and hashes for so many vectors: about as many cells as vectors, within the plans."""
+    """Tables, probes and hashes for so many vectors: up to four cells for each vector, within the plans."""
     cells = 2 << max(1, (dimension - 1).bit_length())
-    hashes = min(max(1, int(np.log(max(vectors, 2)) / np.log(cells))), max(PLANS))
+    hashes = min(max(1, int(np.log(4 * max(vectors, 2)) / np.log(cells))), max(PLANS))
     return *PLANS[hashes], hashes
 
 
@@ -66,6 +66,11 @@ class Rotations:
         best = None
         for part in range(self.hashes):
             turned = self.turn(unit, table, part)
+            if probes == 1:
+                top = np.abs(turned).argmax(axis=1)
+                top = (top + self.width * (turned[np.arange(len(top)), top] < 0))[:, None]
+                best = top if best is None else best * (2 * self.width) + top
+                continue
             reach = np.concatenate([turned, -turned], axis=1)
             take = min(probes, reach.shape[1])
             top = np.argpartition(-reach, take - 1, axis=1)[:, :take]
@@ -82,12 +87,17 @@ class Rotations:
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
+    """The fast transform, three steps of the butterfly at a time: each pass turns the last eight (or fewer) places of
+    all rows and moves them to the front, so after the last pass every place is where it was."""
     n, width = x.shape
-    step = 1
-    while step < width:
-        y = x.reshape(n, width // (2 * step), 2, step)
-        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(n, width)
-        step *= 2
+    left = width
+    while left > 1:
+        radix = min(8, left)
+        small = np.ones((1, 1))
+        while len(small) < radix:
+            small = np.block([[small, small], [small, -small]])
+        x = (x.reshape(-1, radix) @ small).reshape(n, width // radix, radix).swapaxes(1, 2).reshape(n, width)
+        left //= radix
     return x / np.sqrt(width)
 
 
@@ -218,8 +228,14 @@ def _candidates(work: Workspace, asked: DataFrame, ids: DataFrame, kind: str, pl
             of = asks[np.searchsorted(cell, x) : np.searchsorted(cell, x, "right")]
             to = order[np.searchsorted(has, x) : np.searchsorted(has, x, "right")]
             row, col, score = best_pairs(q[of], c[to], ci[to], k + 1)
-            parts.append((qi[of[row]], cls[to[col]], ci[to[col]], score))
-        return _found(parts)
+            parts.append((of[row], cls[to[col]], ci[to[col]], score))
+        if not parts:
+            return _found([])
+        own, of_class, rep, score = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((rep, -score, own))
+        own, of_class, rep, score = own[order], of_class[order], rep[order], score[order]
+        keep = np.arange(len(own)) - np.searchsorted(own, own) <= k  # k + 1 of all cells together
+        return _found([(qi[own[keep]], of_class[keep], rep[keep], score[keep])])
 
     key = ["d", "tab", "shard", "block"]
     return spread.groupBy(*key).cogroup(cells.groupBy(*key)).applyInArrow(compare, FOUND)
