@@ -111,8 +111,9 @@ def receipt_date(text: Column) -> Column:
         number = F.coalesce(m.try_cast("int"), named)
         first_day = d.try_cast("int")
         swap = (number > 12) & (first_day <= 12)
-        made = F.format_string("%04d-%02d-%02d", whole, F.when(swap, first_day).otherwise(number), F.when(swap, number).otherwise(first_day))
-        return F.date_format(F.try_to_date(F.when(y.isNotNull(), made), "yyyy-MM-dd"), "yyyy-MM-dd")
+        padded = [F.lpad(x.cast("string"), width, "0") for x, width in ((whole, 4), (F.when(swap, first_day).otherwise(number), 2), (F.when(swap, number).otherwise(first_day), 2))]
+        made = F.concat(padded[0], F.lit("-"), padded[1], F.lit("-"), padded[2])
+        return F.date_format(F.try_to_date(made, "yyyy-MM-dd"), "yyyy-MM-dd")
 
     stem = "(" + "|".join(MONTH_STEMS) + r")[a-z]*"
     return F.coalesce(
