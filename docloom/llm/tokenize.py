@@ -8,19 +8,22 @@ library once and then comes from two bounded tables, of which the older goes whe
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import compress, repeat
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from docloom.llm import workers
+from docloom.llm.batches import string_buffers
 
 #: Pieces that the two tables of a Python worker hold, about. When the younger one has half of them it becomes the older
 #: one, whose pieces move back as they are met; what was not met meanwhile goes.
 TABLE_PIECES = 600_000
-#: Bytes of text that are encoded at once: their pieces stay in a core's cache.
-SLICE_BYTES = 1 << 18
+#: Bytes of text that are encoded at once: each distinct piece among them is looked up once.
+SLICE_BYTES = 1 << 21
 #: Characters of one text that are in pieces at the same time.
 SEGMENT_CHARS = 1 << 20
 #: Pieces that go through the library in one call.
@@ -29,10 +32,15 @@ GROUP = 4096
 ENDS = frozenset(".,!?;:")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-_LOWER_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
+#: Parts the keys of pieces; no byte of UTF-8.
+PART = b"\xff"
+
+_LOWER_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r ABCDEFGHIJKLMNOPQRSTUVWXYZ", 6 * PART + b"abcdefghijklmnopqrstuvwxyz")
 _WHITE = [chr(c) for c in range(0x110000) if chr(c).isspace()]
 _LINES = frozenset(" \n")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: `PART` in a text that was decoded with its bytes escaped.
+_GAP = PART.decode("utf-8", "surrogateescape")
 
 
 #: The key of one run of Latin letters, with or without a blank before it: a single pre-token of either kind.
@@ -62,33 +70,35 @@ def _segments(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def prefixed_pieces(text: str) -> list[str]:
+def prefixed_pieces(text: str) -> bytes:
     """Keys of the pieces for byte-level pre-tokenizers, which give a blank to the word behind it.
 
     A key that begins with a line end stands for what follows it there, any other for itself behind a blank. A line end
     between two other marks is a piece of its own, so lines that meet do not make ever new pieces.
     """
+    start = "\n"
+    if text[:1] == " " and len(text) > 1 and not text[1].isspace():
+        start, text = "", text[1:]
     other = [c for c in _WHITE if c in text]
     if text[:1].isspace() or text[-1:].isspace() or any(c + " " in text or " " + c in text for c in other):
-        parts = _CUT.split(text)
-    elif "\n\n" in text or not _LINES.issuperset(other):
-        parts = text.split(" ")
-    else:
-        return ("\n" + text.replace("\n", " \n\n \n")).split(" ")
-    return ["\n" + parts[0], *parts[1:]]
+        return (start + _CUT.sub(_GAP, text)).encode("utf-8", "surrogateescape")
+    if "\n\n" not in text and _LINES.issuperset(other):
+        text = text.replace("\n", " \n\n \n")
+    return (start + text).encode().replace(b" ", PART)
 
 
-def _prefixed_segment(segment: str) -> list[str]:
-    if segment[:1] == " " and len(segment) > 1 and not segment[1].isspace():
-        keys = prefixed_pieces(segment[1:])
-        keys[0] = keys[0][1:]
-        return keys
-    return prefixed_pieces(segment)
+def blank_pieces(text: str) -> bytes:
+    """Keys of the pieces for pre-tokenizers that lower-case and drop white space: cut at the ASCII blanks."""
+    return text.encode().translate(_LOWER_BLANKS)
 
 
-def blank_pieces(text: str) -> list[str]:
-    """Pieces for pre-tokenizers that lower-case and drop white space: cut at the ASCII blanks."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER_BLANKS).decode("utf-8", "surrogatepass").split(" ")
+def distinct(raw: bytes) -> tuple[list[str], np.ndarray]:
+    """The distinct keys among `raw`, each with a `PART` behind it, and which of them stands at each place."""
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == PART[0]) + 1
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    keys = string_buffers(coded.dictionary)[0].tobytes().decode("utf-8", "surrogateescape").split(_GAP)
+    return keys[:-1], coded.indices.to_numpy()
 
 
 class Table:
@@ -131,7 +141,7 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.keeps_blanks = keeps_blanks
         self.alone = "\n" if keeps_blanks else ""  # the key of a mark without a blank
-        self.pieces = _prefixed_segment if keeps_blanks else blank_pieces
+        self.pieces = prefixed_pieces if keeps_blanks else blank_pieces
         self.table_pieces = table_pieces
         self.young, self.old = Table(), Table()
 
@@ -146,8 +156,11 @@ class PieceEncoder:
         is_word = [_WORD.fullmatch(p) is not None for p in whole]
         words = list(compress(whole, is_word))
         if words:
-            tokens = [self.model.tokenize(self._spelled(p)) for p in words]
-            self.young.add(words, np.array([t.id for x in tokens for t in x], np.uint32), np.fromiter(map(len, tokens), np.int64, len(words)))
+            flat, ends = array("I"), array("q", [0])  # no tokens are held, so none are there to be collected
+            for p in words:
+                flat.extend([t.id for t in self.model.tokenize(self._spelled(p))])
+                ends.append(len(flat))
+            self.young.add(words, np.frombuffer(flat, np.uint32), np.diff(np.frombuffer(ends, np.int64)))
         mixed = [p for p, w in zip(whole, is_word, strict=True) if not w]
         for k in range(0, len(mixed), GROUP):
             part = mixed[k : k + GROUP]
@@ -182,35 +195,34 @@ class PieceEncoder:
             self.young.add(list(compress(pieces, there.tolist())), *self.old.gather(at[there]))
         return list(compress(pieces, (~there).tolist()))
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row and how many each has."""
         if len(self.young.known) > self.table_pieces // 2:
             self.young, self.old = Table(), self.young
+        pieces, place = distinct(raw)
         at = self.young.places(pieces)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             unknown = [pieces[i] for i in missing.tolist()]
-            if fresh := self._recalled(list(set(unknown))):
+            if fresh := self._recalled(unknown):
                 self._learn(fresh)
             at[missing] = self.young.places(unknown)
-        return self.young.gather(at)
+        return self.young.gather(at[place])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text."""
         counts = np.zeros(len(texts), np.int64)
         out: list[np.ndarray] = []
-        pending: list[str] = []
-        owners: list[tuple[int, int]] = []
+        pending: list[bytes] = []
+        owners: list[int] = []
+        held = 0
 
         def flush() -> None:
             if pending:
-                ids, size = self._encode_pieces(pending)
+                ids, size = self._encode_pieces(PART.join(pending) + PART)
                 out.append(ids)
-                at = 0
-                bounds = np.concatenate([[0], np.cumsum(size)])
-                for owner, n in owners:
-                    counts[owner] += bounds[at + n] - bounds[at]
-                    at += n
+                n = np.array([p.count(PART) + 1 for p in pending])
+                np.add.at(counts, owners, np.add.reduceat(size, np.cumsum(n) - n))
             pending.clear()
             owners.clear()
 
@@ -218,11 +230,12 @@ class PieceEncoder:
             if not text:
                 continue
             for segment in _segments(text) if len(text) > SEGMENT_CHARS else (text,):
-                parts = self.pieces(segment)
-                pending += parts
-                owners.append((k, len(parts)))
-                if len(pending) > 1_000_000:
+                pending.append(self.pieces(segment))
+                owners.append(k)
+                held += len(pending[-1])
+                if held > 2 * SLICE_BYTES:
                     flush()
+                    held = 0
         flush()
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), counts
 
