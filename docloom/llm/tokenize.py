@@ -95,8 +95,8 @@ def blank_pieces(text: str) -> bytes:
 def distinct(raw: bytes) -> tuple[list[str], np.ndarray]:
     """The distinct keys among `raw`, each with a `PART` behind it, and which of them stands at each place."""
     ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == PART[0]) + 1
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    offsets = np.concatenate([[0], ends]).astype(np.int64)  # a text without a place to cut may pass 2 GB
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
     keys = string_buffers(coded.dictionary)[0].tobytes().decode("utf-8", "surrogateescape").split(_GAP)
     return keys[:-1], coded.indices.to_numpy()
 
