@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -105,6 +106,35 @@ def test_cells_grow_with_the_vectors():
     assert [ann.layout(n, 64)[2] for n in (500, 4000, 4100, 500_000, 530_000, 10**12)] == [1, 1, 2, 2, 3, 3]
 
 
+def test_three_hashes_take_bounded_memory_and_two_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4096, 64))
+    tables, share, hashes = ann.layout(615_384, 64)
+    assert (tables, hashes) == (2, 3) and all(plan[0] <= 2 for plan in ann.PLANS.values())
+    turns = ann.Rotations(64, tables, hashes)
+    tracemalloc.start()
+    unit = ann._unit(x)
+    reach = np.concatenate([turns.reach(turns.losses(unit[i : i + 256], 0), share) for i in range(0, len(x), 256)])
+    cell = turns.cells(unit, 0)
+    found = list(ann.best_in_cells(turns, 0, x[:512], reach[:512], x, cell, np.arange(len(x)), 6))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    near = unit[:512] @ unit.T
+    row, col, score = (np.concatenate(part) for part in zip(*found, strict=True))
+    assert np.allclose(score, near[row, col], atol=1e-12) and (np.bincount(row, minlength=512) == 6).all()
+    cost = sum(loss[:, axis] for loss, axis in zip(turns.losses(unit[:512], 0), turns.axes(cell), strict=True))
+    for i in range(512):  # nothing within reach is nearer than what is found
+        mine = set(col[row == i].tolist())
+        rest = [j for j in np.flatnonzero(cost[i] <= reach[i]).tolist() if j not in mine]
+        assert max(near[i, rest], default=-1) <= score[row == i].min() + 1e-12
+
+
+def test_crowded_axes_are_spread_over_shards():
+    first, blocks = ann.shards(np.array([5, 3, 250, 0, 2, 100, 1]), 100)
+    assert blocks.tolist() == [1, 1, 3, 1, 1, 1, 1] and first.tolist() == [0, 0, 1, 3, 4, 5, 6]
+
+
 def test_deep_and_unclosed_pages_take_linear_time():
     began = time.process_time()
     deep = "<body><p>start</p>" + "<div class=x>" * 100_000 + "<p>end</p>"
