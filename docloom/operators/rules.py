@@ -24,6 +24,7 @@ NOVEL_BELOW = 0.25
 TOLERANCE = 0.02
 HISTORY_ENOUGH = 2
 DUPLICATE_DAYS, DUPLICATE_CENTS = 45, 0.01
+CELL_REACH = 6
 VENDOR_REVIEW, VENDOR_FAIL = 0.25, 1.00
 MARKET_REVIEW, MARKET_FAIL = 0.60, 1.50
 ADDRESS_SAME = 75.0
@@ -120,20 +121,34 @@ def identity_checks(docs: DataFrame, known: DataFrame, counts: DataFrame) -> Dat
     return out
 
 
+def _cell_sizes(days: int, cents: float) -> tuple[float, int]:
+    return max(cents * CELL_REACH, 0.01), max(days * CELL_REACH, 1)
+
+
+def duplicate_cells(entries: DataFrame, days: int, cents: float) -> DataFrame:
+    """Entries (total, date) once for each cell of amounts and days that a match reaches: cell, span.
+
+    Rounding keeps the order of amounts, so a match lies between the two ends, which are next to each other.
+    """
+    step, width = _cell_sizes(days, cents)
+    cells = lambda x, reach, wide: F.explode(F.sequence(F.floor((x - reach) / wide), F.floor((x + reach) / wide)))
+    return entries.withColumn("cell", cells(F.col("total"), cents * (1 + 1e-9) + 1e-6, step)).withColumn("span", cells(F.unix_date("date"), days, width))
+
+
 def duplicate_payments(docs: DataFrame, history: DataFrame, days: int = DUPLICATE_DAYS, cents: float = DUPLICATE_CENTS) -> DataFrame:
     """The first document of history, by pos, of the same supplier, amount and time: doc_id, other_doc.
 
-    An equal amount to the cent falls in the same or a neighbouring bucket, and so do dates within the window, so the
-    join is on equal keys; a supplier with very many documents spreads over its amounts and times.
+    The plane of amounts and days is cut into cells CELL_REACH times as wide as the match reaches, and an entry of the
+    history goes to those that it reaches: to one as a rule, to two at an edge and to four at a corner. So the join is
+    on equal keys, and a supplier with very many documents spreads over its amounts and times.
     """
-    step = max(cents * 2, 0.01)
+    step, width = _cell_sizes(days, cents)
     q = docs.select("doc_id", "vendor", "total", iso_date(F.col("invoice_date")).alias("date"))
-    q = q.withColumn("cell", F.floor(F.col("total") / step)).withColumn("span", F.floor(F.unix_date("date") / days))
-    h = history.select(F.col("doc_id").alias("other_doc"), "vendor", F.col("total").alias("other_total"), iso_date(F.col("invoice_date")).alias("other_date"), "pos")
-    h = h.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("other_total") / step) + k)))
-    h = h.withColumn("span", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.unix_date("other_date") / days) + k)))
+    h = history.select(F.col("doc_id").alias("other_doc"), F.col("vendor").alias("other_vendor"), "total", iso_date(F.col("invoice_date")).alias("date"), "pos")
+    h = duplicate_cells(h, days, cents).withColumnsRenamed({"total": "other_total", "date": "other_date"})
+    same = (F.col("vendor") == F.col("other_vendor")) & (F.floor(F.col("total") / step) == F.col("cell")) & (F.floor(F.unix_date("date") / width) == F.col("span"))
     near = (F.abs(F.col("total") - F.col("other_total")) <= cents + 1e-9) & (F.abs(F.datediff("date", "other_date")) <= days) & (F.col("doc_id") != F.col("other_doc"))
-    return q.join(h, ["vendor", "cell", "span"]).where(near).groupBy("doc_id").agg(F.min_by("other_doc", F.struct("pos", "other_doc")).alias("other_doc"))
+    return q.join(h, same & near).groupBy("doc_id").agg(F.min_by("other_doc", F.struct("pos", "other_doc")).alias("other_doc"))
 
 
 def route(docs: DataFrame) -> DataFrame:

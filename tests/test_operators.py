@@ -1,4 +1,6 @@
+import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,25 @@ def test_duplicate_payment_at_the_edges(spark):
     assert {r.doc_id: r.other_doc for r in rules.duplicate_payments(now, past).collect()} == {1: 10, 2: 11}
 
 
+def test_duplicate_payments_without_nine_copies(spark):
+    rng = random.Random(5)
+    at = lambda: (rng.choice("vw"), round(rng.choice([rng.uniform(-60, 60), float(rng.randrange(-60, 60))]), 2), rng.randrange(20_000, 20_400))
+    docs = [(i, *at()) for i in range(400)] + [(400, "v", None, 20_000), (401, "v", float("nan"), 20_000), (402, "w", 1e15, 20_000), (403, "w", 1e15 + 1, 20_003), (405, "w", 1e18, 20_000), (406, "w", 1e18, 20_003), (407, "w", 1e300, 20_000), (404, "v", 3.0, None)]
+    iso = lambda d: None if d is None else str(datetime.date(1970, 1, 1) + datetime.timedelta(d))
+    table = spark.createDataFrame([(i, v, t, iso(d), -i) for i, v, t, d in docs], "doc_id long, vendor string, total double, invoice_date string, pos int")
+    whole = [x for x in docs if x[2] is not None and x[2] == x[2] and x[3] is not None]
+    want = {}
+    for i, v, t, d in whole:
+        near = [j for j, w, u, e in whole if i != j and v == w and abs(t - u) <= 1.5 + 1e-9 and abs(d - e) <= 45]
+        if near:
+            want[i] = max(near)
+    found = rules.duplicate_payments(table, table, cents=1.5)
+    assert {r.doc_id: r.other_doc for r in found.collect()} == want and len(want) > 100 and want[402] == 403
+    moved = spark.range(20_000).selectExpr("id AS doc_id", "'v' AS vendor", "double(hash(id) % 1000000) / 7 AS total", "date_format(date_add('2020-01-01', cast(id % 2000 AS int)), 'yyyy-MM-dd') AS invoice_date", "id AS pos")
+    far = rules.duplicate_cells(moved.select(F.col("doc_id").alias("other_doc"), "total", "pos", F.to_date("invoice_date").alias("date")), 45, 1.5)
+    assert 20_000 <= far.count() < 2 * 20_000
+
+
 def test_checks_need_history(spark):
     past = spark.createDataFrame([("v", "A1", None), ("v", "A1", "G1"), ("new", "B1", None)], "vendor string, account string, gstin string")
     known = knowledge.identities(past, ["account", "gstin"])
