@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from docloom.operators import retrieval
 from docloom.plans.queries import QUERIES
 
 
@@ -66,3 +67,22 @@ def test_hybrid_asks_whole_texts_of_all_documents(spark, tmp_path):
     want = {q: [(i, round(s, 9)) for i, s in found] for q, found in brute_hybrid(texts, vectors).items()}
     assert got == want
     assert any(i == 41 for i, _ in got[20]) and {0, 20, 60, 80, 120} == got.keys()
+
+
+def test_text_search_by_blocks_equals_the_index(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdeÉ😀") for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    rows += [(5, "more of\tit"), (200, rows[9][1]), (201, None), (202, " \n"), (203, "x"), (204, "abcde " * 3000)]
+    entries = spark.createDataFrame(rows, "entry_id long, text string")
+    queries = entries.where("entry_id % 4 = 0 or entry_id > 199 or entry_id = 5").withColumnRenamed("entry_id", "query_id")
+    listed = lambda found: sorted((r.query_id, r["rank"], r.entry_id, round(r.score, 10)) for r in found.collect())
+    want = listed(retrieval.TfidfIndex(entries).search(queries, 6))
+    for settings in ({}, {"BLOCK_CHARS": 900, "ASKED": 7, "DENSE": 30}, {"VOCABULARY": 10}):
+        with monkeypatch.context() as changed:
+            for name, value in settings.items():
+                changed.setattr(retrieval, name, value)
+            assert listed(retrieval.text_search(queries, entries, 6)) == want, settings
+    plan = retrieval.text_search(queries, entries, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "gram" not in plan  # no table of postings
+    assert retrieval.text_search(queries, entries.limit(0), 6).count() == 0
