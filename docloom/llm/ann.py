@@ -31,9 +31,9 @@ from docloom.llm import hashing
 from docloom.llm.shared import Workspace, written
 
 #: Tables, and the share of all cells that a query asks for in each, by the number of hashes that a cell joins.
-PLANS = {1: (2, 0.4), 2: (2, 0.13), 3: (2, 0.04)}
+PLANS = {1: (2, 0.4), 2: (2, 0.13), 3: (2, 0.03)}
 #: Bytes of vectors in a shard, at least and at most: the more vectors, the larger, so that queries go to few.
-SHARD_BYTES = 1 << 24, 1 << 26
+SHARD_BYTES = 1 << 25, 1 << 26
 #: Cells of one run, which share all axes but the last, where three hashes are joined.
 RUN_CELLS = 16
 #: Cells by which a query's share is measured, and costs of cells that are held at once.
