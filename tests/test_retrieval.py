@@ -86,3 +86,18 @@ def test_text_search_by_blocks_equals_the_index(spark, monkeypatch):
     plan = retrieval.text_search(queries, entries, 6)._jdf.queryExecution().optimizedPlan().toString()
     assert "gram" not in plan  # no table of postings
     assert retrieval.text_search(queries, entries.limit(0), 6).count() == 0
+
+
+def test_text_search_sends_queries_once_and_bounds_what_follows(spark, monkeypatch):
+    rng = random.Random(11)
+    kinds = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)] for letters in ("abcde", "fghij", "éüñçklm")]
+    rows = [(i, " ".join(rng.choice(kinds[i % 7 % 3]) for _ in range(rng.randint(1, 60)))) for i in range(300)]
+    rows += [(300 + i, rows[i * 5][1]) for i in range(40)] + [(400, "aa " * 70_000)]
+    entries = spark.createDataFrame(rows, "entry_id long, text string")
+    queries = entries.where("entry_id % 5 = 0").withColumnRenamed("entry_id", "query_id")
+    listed = lambda found: sorted((r.query_id, r["rank"], r.entry_id, round(r.score, 10)) for r in found.collect())
+    for name, value in {"BLOCK_CHARS": 12_000, "ASKED": 40, "AHEAD": 3, "SENT": 20_000}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    found = retrieval.text_search(queries, entries, 4)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no copy of the queries for each block
+    assert listed(found) == listed(retrieval.TfidfIndex(entries).search(queries, 4))
